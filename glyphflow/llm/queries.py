@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from glyphflow.llm import partenum
 from glyphflow.llm.bpe import op2_byte_bpe
+from glyphflow.llm.fertility import op1_fertility_quality
 
 QUERIES = {
+    "op1_fertility_quality": op1_fertility_quality,
     "op2_byte_bpe": op2_byte_bpe,
+    "op8_partenum_join": partenum.op8_partenum_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_partenum_join": partenum.SQL,
+}

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from glyphflow.llm import partenum
+from glyphflow.llm import partenum, winnow
 from glyphflow.llm.bpe import op2_byte_bpe
 from glyphflow.llm.fertility import op1_fertility_quality
 
 QUERIES = {
     "op1_fertility_quality": op1_fertility_quality,
     "op2_byte_bpe": op2_byte_bpe,
+    "op6_winnow_decontaminate": winnow.op6_winnow_decontaminate,
     "op8_partenum_join": partenum.op8_partenum_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_winnow_decontaminate": winnow.SQL,
     "op8_partenum_join": partenum.SQL,
 }

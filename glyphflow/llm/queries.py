@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphflow.llm import partenum, winnow
+from glyphflow.llm import bwt, partenum, winnow
 from glyphflow.llm.bpe import op2_byte_bpe
 from glyphflow.llm.fertility import op1_fertility_quality
 
@@ -10,6 +10,7 @@ QUERIES = {
     "op1_fertility_quality": op1_fertility_quality,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_winnow_decontaminate": winnow.op6_winnow_decontaminate,
+    "op7_bwt_dedup": bwt.op7_bwt_dedup,
     "op8_partenum_join": partenum.op8_partenum_join,
 }
 

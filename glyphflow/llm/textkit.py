@@ -107,6 +107,20 @@ def hasher(buf: np.ndarray):
     return hashed
 
 
+def rolling(buf: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n bytes from each position on, equal to what hasher() gives for them."""
+    if len(buf) < n:
+        return np.zeros(0, U64)
+    terms = _SALT[buf]
+    terms *= _power("up", _BASE, len(buf))
+    sums = np.zeros(len(buf) + 1, U64)
+    np.cumsum(terms, out=sums[1:])
+    out = sums[n:] - sums[:-n]
+    out *= _power("down", _INVERSE, len(out))
+    out += U64(n * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+    return mix(out)
+
+
 def grams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each run of n consecutive spans of one row, and the index of its first span."""
     m = len(hashes) - n + 1

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from glyphflow.llm import bwt, partenum, winnow
+from glyphflow.llm import bwt, partenum, rules, secrets, toxicity, winnow
 from glyphflow.llm.bpe import op2_byte_bpe
 from glyphflow.llm.fertility import op1_fertility_quality
 
 QUERIES = {
     "op1_fertility_quality": op1_fertility_quality,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_rule_quality": rules.op3_rule_quality,
+    "op4_toxic_segments": toxicity.op4_toxic_segments,
     "op6_winnow_decontaminate": winnow.op6_winnow_decontaminate,
     "op7_bwt_dedup": bwt.op7_bwt_dedup,
     "op8_partenum_join": partenum.op8_partenum_join,
+    "op10_pfa_secrets": secrets.op10_pfa_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {

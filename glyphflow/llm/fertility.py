@@ -220,5 +220,23 @@ def assessed(df: DataFrame, config: FertilityConfig, text: str = "text", key: st
     return source.mapInArrow(run, ", ".join([f"key {df.schema[key].dataType.simpleString()}", *(f"{c} {t}" for c, t in COLUMNS.items())])).withColumnRenamed("key", key)
 
 
+def kept_rows(df: DataFrame, config: FertilityConfig, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of df whose text stays, with all their columns; one pass."""
+    runtime.small_batches(df.sparkSession)
+    place = df.columns.index(text)
+    tongue = df.columns.index(lang) if lang in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of(config.byte_vocabulary, config.piece_vocabulary)
+        for batch in batches:
+            buf, offsets = textkit.texts_of(batch.column(place))
+            groups = batch.column(tongue).to_pylist() if tongue is not None else [None] * batch.num_rows
+            for a, b in textkit.chunks(offsets):
+                part, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                yield batch.slice(a, b - a).filter(pa.array(verdicts(measures(part, at, words), groups[a:b], scripts_of(part, at), config)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op1_fertility_quality(spark, sf_dir: str, config: FertilityConfig | None = None) -> DataFrame:
     return assessed(runtime.table(spark, sf_dir, "documents"), config or default_config())

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from glyphflow.plans import detection, recognition
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = recognition.QUERIES | detection.QUERIES
+ORACLE_SQL = recognition.ORACLE_SQL | detection.ORACLE_SQL
+flagship = recognition.ctc_collapse

@@ -56,7 +56,7 @@ def dictionary(spark: SparkSession, path: str, space: bool = False) -> DataFrame
     Ids follow the order of lines in the file, which is read as one row.
     """
     lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
-    rows = spark.read.option("wholetext", True).text(path).select(F.concat(F.array(F.lit("blank")), lines).alias("chars"))
+    rows = spark.read.text(path, wholetext=True).select(F.concat(F.array(F.lit("blank")), lines).alias("chars"))
     if space:
         rows = rows.select(F.when(F.array_contains("chars", " "), F.col("chars")).otherwise(F.concat("chars", F.array(F.lit(" ")))).alias("chars"))
     return rows.select(F.posexplode("chars").alias("id", "ch"))

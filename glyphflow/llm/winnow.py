@@ -136,10 +136,10 @@ item_windows AS (
   FROM b WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT size FROM item_windows),
 doc_windows AS (
-  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS at, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS words
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS words
   FROM d, sizes WHERE len(w) >= size),
-hits AS (SELECT doc_id, at, size, item_id FROM doc_windows JOIN item_windows USING (size, words)),
-covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + size)) AS p FROM hits) GROUP BY doc_id),
+hits AS (SELECT doc_id, pos, size, item_id FROM doc_windows JOIN item_windows USING (size, words)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM hits) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)

@@ -186,7 +186,7 @@ def quad_geometry(spark, sf_dir):
     box = g.letterbox(F.lit(301.0) + F.col("slot"), F.lit(97.0), 224)
     back = g.mapped(q, box["scale"], box["left"], box["top"], F.lit(301.0), F.lit(97.0))
     coefficients = g.projective(q, F.lit(48.0), F.lit(32.0))
-    return boxes(spark, sf_dir).select("image_id", "slot", g.ordered(F.reverse(q))[0]["x"].alias("left"), box["top"].alias("top"), box["height"].alias("height"), F.round(back[2]["x"], 5).alias("mapped_x"), F.round(back[2]["y"], 5).alias("mapped_y"), F.round(coefficients[0], 9).alias("c0"), F.round(coefficients[4], 9).alias("c4"), F.round(g.rescaled(q, F.lit(0.5), F.lit(2.0))[2]["y"], 6).alias("rescaled_y"))
+    return boxes(spark, sf_dir).select("image_id", "slot", g.ordered(F.reverse(q))[0]["x"].alias("left"), box["top"].alias("top"), box["height"].alias("height"), F.round(back[2]["x"], 9).alias("mapped_x"), F.round(back[2]["y"], 9).alias("mapped_y"), F.round(coefficients[0], 9).alias("c0"), F.round(coefficients[4], 9).alias("c4"), F.round(g.rescaled(q, F.lit(0.5), F.lit(2.0))[2]["y"], 6).alias("rescaled_y"))
 
 
 QUERIES = {f.__name__: f for f in (pixel_thresholds, ccl_sizes, ccl_topk_overflow, component_moments, min_area_rect, box_score, unclip_filter, box_decode, supplement_dedup, nearest_base, merged_boxes, median_area_ratio, optional_flags, fallback_rows, orientation_vote, reading_order, reading_order_lines, predecessor_order, narrow_peer_repair, adaptive_expand, crop_sizes, bucket_width, quad_geometry)}
@@ -270,6 +270,6 @@ SELECT image_id, 0 AS slot, round(x0 - coalesce((SELECT move FROM m WHERE m.imag
     "bucket_width": f"""WITH {_CROPS}, r AS (SELECT coalesce(max(width), 0) AS required FROM k)
 SELECT required, (SELECT c FROM (VALUES (320), (480), (640)) AS z(c) ORDER BY abs(c - required), c LIMIT 1) AS nearest FROM r""",
     "quad_geometry": f"""WITH {BOXES}, l AS (SELECT *, 224::DOUBLE / (301 + slot) AS scale, greatest(round_even(97 * 224::DOUBLE / (301 + slot), 0), 1) AS height FROM boxes)
-SELECT image_id, slot, x0 AS left, floor((224 - height) / 2) AS top, height, round(greatest(0, least((x1 - floor((224 - greatest(round_even((301 + slot) * scale, 0), 1)) / 2)) / scale, 300)), 5) AS mapped_x,
-  round(greatest(0, least((y1 - floor((224 - height) / 2)) / scale, 96)), 5) AS mapped_y, round((x1 - x0) / 48, 9) AS c0, round((y1 - y0) / 32, 9) AS c4, round(y1 * 2, 6) AS rescaled_y FROM l""",
+SELECT image_id, slot, x0 AS left, floor((224 - height) / 2) AS top, height, round(greatest(0, least((x1 - floor((224 - greatest(round_even((301 + slot) * scale, 0), 1)) / 2)) / scale, 300)), 9) AS mapped_x,
+  round(greatest(0, least((y1 - floor((224 - height) / 2)) / scale, 96)), 9) AS mapped_y, round((x1 - x0) / 48, 9) AS c0, round((y1 - y0) / 32, 9) AS c4, round(y1 * 2, 6) AS rescaled_y FROM l""",
 }

@@ -7,10 +7,10 @@ signs its first h + 1 parts that aren't empty; at most h parts differ, so linked
 
 The steps, each a table in the shared folder:
 
-1. Screening: more than a quarter of a set's shingles in a fixed order (its prefix) must include one that a linked set
-   has as well, so sets whose prefix shingles all occur in no other set's prefix need no signatures.
-2. Signatures of the sets left.  The smallest set of a bucket is its pivot; every set is compared with its smallest
-   pivot, exactly.  Links to smaller sets form a forest, which pointer jumping resolves.
+1. Screening: in a fixed order of shingles, the first t that linked sets have in common lie in the first quarter of each
+   set plus t (its prefix), so sets with too few prefix shingles that occur in other prefixes need no signatures.
+2. Signatures of the sets left.  In each of a few turns every bucket has a pivot, every set is compared, exactly, with
+   the pivot that it shares most buckets with, and linked sets become one tree; buckets of one tree are done.
 3. Buckets that still hold several trees: all pairs of sets of different trees, in blocks, pruned by a bound from cell
    counts, then exactly.  Sets with too few parts that aren't empty are joined on prefix shingles instead.
 4. Components: trees joined by the links of step 3, contracted until none is left.
@@ -36,7 +36,13 @@ from glyphflow.llm import runtime, textkit
 
 U64 = np.uint64
 WORDS, NUM, DEN = 5, 75, 100
-CELLS = 128
+CELLS, LARGE = 128, 1500
+#: One element in EXTRA is asked of a prefix in common, if that is more than one.
+EXTRA = 10
+#: Edges (16 bytes each) that one task may contract.
+ONE_TASK = 500_000
+#: Turns of comparing with pivots, before all pairs of what is left apart.
+PIVOTS = 4
 #: Rows of a block of a bucket; rows of a table that may be broadcast (8 bytes each).
 BLOCK, BROADCAST_ROWS = 1024, 1_000_000
 
@@ -78,8 +84,8 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
-    """Elements of which a linked set has at least one."""
-    return n - (NUM * n + DEN - 1) // DEN + 1
+    """Elements that hold the first max(1, n // EXTRA) that the set has in common with a linked set."""
+    return np.minimum(n - (NUM * n + DEN - 1) // DEN + np.maximum(1, n // EXTRA), n)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -148,9 +154,31 @@ def signatures(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sketches(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Counts of the elements in CELLS parts, 255 at most; the sum of differences is a lower bound of what sets differ in."""
-    cell = np.repeat(np.arange(len(n)), n) * CELLS + (textkit.mix(keys ^ U64(0x1D8E4E27C47D124F)) % U64(CELLS)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=len(n) * CELLS), 255).astype(np.uint8).reshape(len(n), CELLS)
+    """CELLS bytes for each set, of which differing() bounds from below what two sets differ in.
+
+    Up to LARGE elements they are the parities of 8 * CELLS parts, beyond that the counts of CELLS parts, 255 at most.
+    """
+    rows, mixed = np.repeat(np.arange(len(n)), n), textkit.mix(keys ^ U64(0x1D8E4E27C47D124F))
+    large = n > LARGE
+    out = np.zeros((len(n), CELLS), np.uint8)
+    big = large[rows]
+    counts = np.bincount(rows[big] * CELLS + (mixed[big] % U64(CELLS)).astype(np.int64), minlength=len(n) * CELLS).reshape(len(n), CELLS)
+    out[large] = np.minimum(counts[large], 255)
+    small = np.flatnonzero(~large)
+    place = np.cumsum(~large) - 1
+    for k in range(0, len(small), 4096):
+        part = (place[rows] >= k) & (place[rows] < k + 4096) & ~big
+        bits = np.bincount((place[rows[part]] - k) * 8 * CELLS + (mixed[part] % U64(8 * CELLS)).astype(np.int64), minlength=len(small[k : k + 4096]) * 8 * CELLS) & 1
+        out[small[k : k + 4096]] = np.packbits(bits.astype(bool).reshape(-1, 8 * CELLS), axis=1)
+    return out
+
+
+def differing(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """At least how many elements sets of these sketches and sizes differ in."""
+    same = np.abs(n - m)
+    bits = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    counts = np.abs(x.astype(np.int16) - y).sum(1, dtype=np.int64)
+    return np.maximum(same, np.where((n <= LARGE) & (m <= LARGE), bits, np.where((n > LARGE) & (m > LARGE), counts, 0)))
 
 
 def _elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +212,39 @@ def _by_size(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _code_rows(sets: DataFrame) -> DataFrame:
+    """sid, n, codes (the upper halves of the elements, equal where the elements are) and lost (elements that share a code with another)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = _elements(batch.column(1))
+            codes = (keys >> U64(32)).astype(np.uint32)
+            rows = np.repeat(np.arange(len(n)), n)  # elements ascend, so equal codes are neighbours
+            same = np.append(False, (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1]))[: len(codes)]
+            lost = np.bincount(rows, same, len(n)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(codes.view(np.int32))), pa.array(lost)], ["sid", "codes", "lost"])
+
+    return sets.select("sid", "elements").mapInArrow(run, "sid long, codes array<int>, lost int")
+
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs that linked() may accept, by half of each element's bits: half the data to bring together."""
+    pairs = runtime.written(pairs, "pairs")
+    codes = _code_rows(sets)
+    two = codes.select(F.col("sid").alias("b"), F.col("codes").alias("y")).join(_by_size(pairs), "b")
+    one = codes.select(F.col("sid").alias("a"), F.col("codes").alias("x"), "lost").join(_by_size(pairs.select("a").distinct()), "a", "left_semi")
+    both = F.size(F.array_intersect("x", "y")) + F.col("lost")  # at least what the sets share
+    found = two.join(one, "a").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return found.where(DEN * F.col("both") >= NUM * (F.col("sum") - F.col("both"))).select("a", "b")
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs a, b whose sets are similar enough, exactly."""
-    one = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x"))
-    two = sets.select(F.col("sid").alias("b"), F.col("elements").alias("y"))
+    pairs = runtime.written(pairs, "pairs")
+    two = sets.select(F.col("sid").alias("b"), F.col("elements").alias("y")).join(_by_size(pairs), "b")
+    one = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")).join(_by_size(pairs.select("a").distinct()), "a", "left_semi")
     shared = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    found = two.join(one, "a").select("a", "b", shared.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
     return found.where(DEN * F.col("both") >= NUM * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
@@ -203,13 +258,37 @@ def _roots(parents: DataFrame, what: str) -> DataFrame:
             return parents
 
 
+def _together(edges: DataFrame) -> DataFrame:
+    """contracted() of at most ONE_TASK edges, by one task: dozens of small jobs would take longer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
+        rows = [(x, r) for x in list(up) if (r := top(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def contracted(edges: DataFrame, what: str = "edges") -> DataFrame:
-    """node, root for each node of the edges a, b: the smallest node of its component.
+    """node, root for each node of the edges a, b that isn't the smallest of its component, which is its root.
 
     Each round every node hooks to its smallest neighbour if that is smaller, trees become nodes, and edges within a tree
     go; local minima are at most half of the nodes, so the rounds are logarithmic.
     """
     edges = runtime.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), what)
+    if edges.count() <= ONE_TASK:
+        return runtime.written(_together(edges.select("a", "b")), what)
     whole = None
     while edges.take(1):
         parents = runtime.written(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), what)
@@ -225,6 +304,13 @@ def contracted(edges: DataFrame, what: str = "edges") -> DataFrame:
     return whole if whole is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _joined(trees: DataFrame, links: DataFrame) -> DataFrame:
+    """trees (sid, tree) after joining those that the links a, b between sets connect."""
+    at = lambda column: trees.select(F.col("sid").alias(column), F.col("tree").alias(f"{column}_tree"))
+    tops = contracted(links.join(_by_size(at("a")), "a").join(_by_size(at("b")), "b").select(F.col("a_tree").alias("a"), F.col("b_tree").alias("b")))
+    return runtime.written(trees.join(_by_size(tops.withColumnRenamed("node", "tree")), "tree", "left").select("sid", F.coalesce("root", "tree").alias("tree")), "trees")
+
+
 def _cross_pairs(rows: DataFrame, partitions: int) -> DataFrame:
     """Distinct pairs a < b of sets of one bucket and different trees that the sketches don't exclude.
 
@@ -242,7 +328,7 @@ def _cross_pairs(rows: DataFrame, partitions: int) -> DataFrame:
             at, to = at[ok], to[ok]
             for k in range(0, len(at), 20_000):
                 x, y = at[k : k + 20_000], to[k : k + 20_000]
-                near = np.abs(sketch[x].astype(np.int16) - sketch[y]).sum(1) * 7 <= n[x] + n[y]
+                near = differing(sketch[x], sketch[y], n[x], n[y]) * 7 <= n[x] + n[y]
                 left.append(x[near])
                 right.append(y[near])
             d += 1
@@ -280,6 +366,10 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of each row."""
+    return _placed(df, text, key).drop("rid")
+
+
+def _placed(df: DataFrame, text: str, key: str) -> DataFrame:
     spark = df.sparkSession
     runtime.small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -287,25 +377,36 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     docs = runtime.written(_sets(source, full=False), "sets")
 
     # 1. Screening on prefixes.
-    prefix = docs.where(F.size("elements") > 0).select(F.explode("elements").alias("element"), "sid")
-    common = runtime.written(prefix.groupBy("element").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("element"), "common")
-    left = prefix.join(_by_size(common), "element", "left_semi").select("sid").distinct()
+    prefix = docs.where(F.size("elements") > 0).select(F.explode("elements").alias("element"), "sid", "n")
+    common = runtime.written(prefix.groupBy("element").agg(F.count("*").alias("times")).where("times > 1").select("element"), "common")
+    least_shared = F.greatest(F.lit(1), F.floor(F.lit(NUM) * F.floor(F.col("n") / EXTRA) / DEN))
+    left = prefix.join(_by_size(common), "element", "left_semi").groupBy("sid", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
     classes = docs.where("sid is not null").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     classes = runtime.written(classes, "classes")
-    wanted = runtime.written(left.join(classes, "sid").select("rid"), "wanted")
-    sets = runtime.written(_sets(source.join(_by_size(wanted), "rid", "left_semi"), full=True).select("sid", "n", "elements").dropDuplicates(["sid"]), "elements")
+    wanted = runtime.written(left.select("sid").join(classes, "sid").select("rid"), "wanted")
+    sets = runtime.written(_sets(source.join(_by_size(wanted), "rid", "left_semi"), full=True).select("sid", "n", "elements"), "elements")
 
     # 2. Signatures and pivots.
-    signed = runtime.written(_signature_rows(sets), "signatures")
-    pivots = runtime.written(signed.where("sig is not null").groupBy("sig").agg(F.min("sid").alias("pivot"), F.max("sid").alias("high")).where("pivot < high").select("sig", "pivot"), "pivots")
-    held = runtime.written(signed.join(_by_size(pivots), "sig"), "buckets")
-    first = held.where("pivot < sid").groupBy(F.col("sid").alias("b")).agg(F.min("pivot").alias("a"))
-    forest = runtime.written(linked(first, sets).select(F.col("b").alias("node"), F.col("a").alias("root")), "forest")
-    trees = _roots(forest, "trees")
+    signed = _signature_rows(sets)
+    shared = runtime.written(signed.where("sig is not null").groupBy("sig").agg(F.count("*").alias("members")).where("members > 1").select("sig"), "shared")
+    held = runtime.written(signed.join(_by_size(shared), "sig"), "buckets")
+    trees = runtime.written(held.select("sid").distinct().select("sid", F.col("sid").alias("tree")), "trees")
+    for turn in range(PIVOTS):
+        placed = held.join(_by_size(trees), "sid")
+        chosen = F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "tree"))
+        apart = placed.groupBy("sig").agg(chosen.alias("pivot"), F.min("tree").alias("low"), F.max("tree").alias("high")).where("low < high")
+        apart = runtime.written(apart.select("sig", F.col("pivot.sid").alias("pivot"), F.col("pivot.tree").alias("pivot_tree")), "apart")
+        open_ = runtime.written(placed.join(_by_size(apart), "sig"), "buckets")
+        held = open_.select("sig", "sid")
+        if not held.take(1):
+            break
+        shared = open_.where("tree <> pivot_tree").groupBy("sid", "pivot").agg(F.count("*").alias("times"))
+        nearest = shared.groupBy("sid").agg(F.max(F.struct("times", "pivot")).alias("of")).select("sid", F.col("of.pivot").alias("pivot"))
+        links = linked(nearest.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct(), sets)
+        trees = _joined(trees, links)
 
     # 3. Buckets with several trees, in blocks; sets with too few parts.
-    rows = held.join(trees.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", F.coalesce("root", "sid").alias("tree"))
-    rows = runtime.written(rows, "placed")
+    rows = held.join(_by_size(trees), "sid").select("sig", "sid", "tree")
     mixed = rows.groupBy("sig").agg(F.min("tree").alias("low"), F.max("tree").alias("high"), F.count("*").alias("members")).where("low < high")
     mixed = runtime.written(mixed.select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
     open_ = rows.join(_by_size(mixed), "sig").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
@@ -313,23 +414,32 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     open_ = open_.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "tree")
     crossed = _cross_pairs(open_.join(_sketch_rows(sets), "sid"), partitions)
     few = signed.where("sig is null").select("sid").distinct().join(sets, "sid")
-    few = few.select("sid", F.explode(F.slice("elements", 1, (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))).alias("element"))
-    others = prefix.join(few.withColumnRenamed("sid", "a"), "element").where("a <> sid")
+    few = few.select(F.col("sid").alias("a"), F.explode(F.slice("elements", 1, (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))).alias("element"))
+    few = runtime.written(few.join(_by_size(common), "element", "left_semi"), "few")
+    others = prefix.join(_by_size(few), "element").where("a <> sid")
     short = others.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
-    extra = runtime.written(linked(crossed.unionByName(short).distinct(), sets), "links")
-
-    # 4. Components of trees.
-    at = lambda column: trees.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
-    between = extra.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    tops = contracted(between)
-    member = trees.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    member = member.unionByName(tops.join(trees.select("node"), "node", "left_anti"))
-    named = classes.join(member.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", "copies", "root")
-    named = runtime.written(named.where("copies > 1 or root is not null").select("sid", "least", F.coalesce("root", "sid").alias("root")).unionByName(classes.join(member.select(F.col("root").alias("sid")).distinct(), "sid", "left_semi").select("sid", "least", F.col("sid").alias("root"))).distinct(), "named")
+    extra = runtime.written(linked(likely(crossed.unionByName(short).distinct(), sets), sets), "links")
+
+    # 4. Components of trees, then of documents.
+    ends = extra.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(trees.select("sid"), "sid", "left_anti")
+    trees = runtime.written(trees.unionByName(ends.select("sid", F.col("sid").alias("tree"))).coalesce(partitions), "trees")
+    trees = _joined(trees, extra)
+    named = classes.join(trees, "sid", "left").where("copies > 1 or tree is not null").select("sid", "least", F.coalesce("tree", "sid").alias("root"))
+    named = runtime.written(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = runtime.written(named.join(least, "root").groupBy("sid").agg(F.min("component_id").alias("component_id")), "named")
-    out = docs.select("doc_id", "n", "sid").join(_by_size(named), "sid", "left")
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = docs.select("doc_id", "rid", "n", "sid").join(_by_size(named), "sid", "left")
+    return out.select("rid", F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of df but those that are linked with a row of a smaller key; rows equal in key and text are all alike.
+
+    A row with a null key stays only if its component has no key.
+    """
+    gone = _placed(df, text, key).where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col("rid").alias("__rid")).distinct()
+    left = df.withColumn("__rid", F.xxhash64(df[key], df[text])).join(_by_size(runtime.written(gone, "gone")), "__rid", "left_anti")
+    return left.drop("__rid")
 
 
 def op8_partenum_join(spark, sf_dir: str) -> DataFrame:
@@ -345,8 +455,8 @@ shingles AS (
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
   FROM texts),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS id, doc_id AS to_id FROM documents UNION SELECT id, e.b FROM reach JOIN edges e ON e.a = reach.to_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id

@@ -36,9 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: later stages and lost executors don't compute them again."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: the shuffle files of finished steps stay on the executors' disks until it does."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -81,7 +81,23 @@ def test_linked_sets_share_a_signature():
             assert few.any() or set(sig[owner == 0]) & set(sig[owner == 1])
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("one_task", [0, partenum.ONE_TASK])
+def test_components_of_a_long_path(spark, monkeypatch, one_task):
+    monkeypatch.setattr(partenum, "ONE_TASK", one_task)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (150, 200)], "a long, b long")
     got = {r.node: r.root for r in partenum.contracted(edges).collect()}
     assert {k: got.get(k, k) for k in [*range(61), 100, 150, 200]} == {**{k: 0 for k in range(61)}, 100: 100, 150: 100, 200: 100}
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (1, 7, 60, 1499, 1500, 1501, 4000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [np.unique(base), np.unique(np.append(base[n // 10 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)))]
+    sizes = np.array([len(x) for x in sets])
+    sketch = partenum.sketches(np.concatenate(sets), sizes)
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            least = partenum.differing(sketch[[i]], sketch[[j]], sizes[[i]], sizes[[j]])[0]
+            assert least <= len(np.setxor1d(sets[i], sets[j])) and (i != j or least == 0)

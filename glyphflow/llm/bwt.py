@@ -10,7 +10,9 @@ corpus fits no machine, so equal strings are brought together first:
 3. The distinct contexts of the other grams are indexed, many grams to a transform: breadth-first backward extension of
    intervals sets the borders of the suffix array by increasing common prefix and stops at LENGTH.  Suffixes with no
    border between them share LENGTH bytes.  A gram with more than MEMBERS contexts, of which a hot passage has some, is
-   settled by counting the hashes of its strings instead, since no one task could hold it.
+   dealt anew, since no one task could hold it: its strings are split by how far before the gram they start, in cells of
+   CELL starts, and those of a cell are keyed by the bytes that all starts of the cell have in common.  What still has
+   too many members, the edge of the passage, is settled by counting the hashes of its strings.
 4. The runs of repeated strings go back to the documents.
 
 Defined cases: null and empty texts have no bytes; matches don't cross documents; equal rows repeat one another; other
@@ -35,17 +37,19 @@ LENGTH, GRAM = 200, 64
 AT_BITS = 22
 #: Contexts of a gram, and bytes of a transform, at most.
 MEMBERS, INDEXED = 256, 1 << 17
+#: Starts of a cell of a gram with too many contexts.
+CELL = 16
 #: Rows of at most about 40 bytes that may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 50_000
 
 
-def representatives(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts that one gram represents: first and last start, and the hash of the gram."""
+def representatives(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of string starts that one gram represents: first and last start, where the gram is, and its hash."""
     width = length - gram + 1
     none = np.zeros(0, np.int64)
     n = len(buf) - length + 1
     if n <= 0:
-        return none, none, np.zeros(0, U64)
+        return none, none, none, np.zeros(0, U64)
     hashes = textkit.rolling(buf, gram)
     out = []
     step = (1 << AT_BITS) - length
@@ -65,7 +69,7 @@ def representatives(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH,
     first = inside & (turn | ~np.append(False, inside[:-1]))
     last = inside & (np.append(turn[1:], True) | ~np.append(inside[1:], False))
     starts = np.flatnonzero(first)
-    return starts, np.flatnonzero(last), hashes[at[starts]]
+    return starts, np.flatnonzero(last), at[starts], hashes[at[starts]]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -164,7 +168,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """gram, context, rid, a, b: the runs of strings with one gram, from start a to b of the row's text."""
+    """gram, context, rid, a, b, at: the runs of strings with one gram, from start a to b of the row's text; the gram is at a + at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,25 +176,25 @@ def _contexts(docs: DataFrame) -> DataFrame:
             rid = np.asarray(batch.column(0))
             for i, j in textkit.chunks(offsets):
                 part, at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                a, b, gram = representatives(part, at)
+                a, b, p, gram = representatives(part, at)
                 context = textkit.hasher(part)(a, b + LENGTH)
                 row = np.searchsorted(at, a, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(rid[i:j][row]), pa.array((a - at[row]).astype(np.int32)), pa.array((b - at[row]).astype(np.int32))], ["gram", "context", "rid", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(rid[i:j][row]), pa.array((a - at[row]).astype(np.int32)), pa.array((b - at[row]).astype(np.int32)), pa.array((p - a).astype(np.int32))], ["gram", "context", "rid", "a", "b", "at"])
 
-    return docs.mapInArrow(run, "gram long, context long, rid long, a int, b int")
+    return docs.mapInArrow(run, "gram long, context long, rid long, a int, b int, at int")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """gram, context, times, hot, bytes of the contexts wanted of each text."""
+    """gram, context, times, hot, at, bytes of the contexts wanted of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
-            rows = [(w["gram"], w["context"], w["times"], w["hot"], text[w["a"] : w["b"] + LENGTH]) for text, wanted in zip(texts, batch.column(1).to_pylist()) for w in wanted]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["gram", "context", "times", "hot", "bytes"])
+            rows = [(w["gram"], w["context"], w["times"], w["hot"], w["at"], text[w["a"] : w["b"] + LENGTH]) for text, wanted in zip(texts, batch.column(1).to_pylist()) for w in wanted]
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()))], ["gram", "context", "times", "hot", "at", "bytes"])
 
-    return docs.select("text", "wanted").mapInArrow(run, "gram long, context long, times long, hot boolean, bytes binary")
+    return docs.select("text", "wanted").mapInArrow(run, "gram long, context long, times long, hot boolean, at int, bytes binary")
 
 
 def _indexed(contexts: DataFrame, partitions: int) -> DataFrame:
@@ -245,6 +249,45 @@ def _counted(contexts: DataFrame) -> DataFrame:
     return found.mapInArrow(joined, "gram long, context long, spans array<struct<s:int,e:int>>")
 
 
+def _cells(contexts: DataFrame) -> DataFrame:
+    """gram, context, times and of each part of a context in one cell: key, part (its hash), first (its start), bytes."""
+    most = LENGTH - GRAM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            buf, offsets = textkit.texts_of(batch.column(4))
+            hashed = textkit.hasher(buf)
+            for gram, context, times, at, data, base in zip(*(batch.column(i).to_pylist() for i in range(5)), offsets.tolist()):
+                for cell in range(max(0, at - (len(data) - LENGTH)) // CELL, at // CELL + 1):
+                    near, far = cell * CELL, min(cell * CELL + CELL - 1, most)  # bytes from a start to the gram
+                    a, b = max(0, at - far), min(len(data) - LENGTH, at - near)
+                    if a <= b:
+                        rows.append((gram, context, times, cell, a, data[a : b + LENGTH], base + at - near, base + at - far + LENGTH, base + a, base + b + LENGTH))
+            if rows:
+                gram, context, times, cell, first, data, core_a, core_b, part_a, part_b = zip(*rows)
+                key = textkit.mix(hashed(np.array(core_a), np.array(core_b)) ^ textkit.mix(np.array(cell, U64) + np.array(gram, np.int64).view(U64)))
+                part = hashed(np.array(part_a), np.array(part_b))
+                yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(times, pa.int64()), pa.array(key.view(np.int64)), pa.array(part.view(np.int64)), pa.array(first, pa.int32()), pa.array(data, pa.binary())], ["gram", "context", "times", "key", "part", "first", "bytes"])
+
+    return contexts.select("gram", "context", "times", "at", "bytes").mapInArrow(run, "gram long, context long, times long, key long, part long, first int, bytes binary")
+
+
+def _dealt(contexts: DataFrame, partitions: int) -> DataFrame:
+    """gram, context, spans of the contexts of grams with too many."""
+    cells = runtime.written(_cells(contexts), "cells")
+    parts = cells.groupBy("key", "part").agg(F.sum("times").alias("times"), F.first("bytes").alias("bytes"))
+    parts = runtime.written(parts.select(F.col("key").alias("gram"), F.col("part").alias("context"), "times", "bytes"), "parts")
+    members = runtime.written(parts.groupBy("gram").agg(F.count("*").alias("members"), F.sum("times").alias("all")).where("all > 1"), "members")
+    parts = parts.join(_small(members), "gram")
+    whole = parts.where("members = 1").select("gram", "context", F.array(F.struct(F.lit(0).alias("s"), F.octet_length("bytes").alias("e"))).alias("spans"))
+    some = _indexed(parts.where(f"members between 2 and {MEMBERS}"), partitions).unionByName(_counted(parts.where(f"members > {MEMBERS}")))
+    settled = runtime.written(whole.unionByName(some.where(F.size("spans") > 0)).select(F.col("gram").alias("key"), F.col("context").alias("part"), "spans").dropDuplicates(["key", "part"]), "settled")
+    back = cells.select("gram", "context", "key", "part", "first").join(_small(settled), ["key", "part"])
+    shifted = F.transform("spans", lambda x: F.struct((x["s"] + F.col("first")).alias("s"), (x["e"] + F.col("first")).alias("e")))
+    return back.select("gram", "context", shifted.alias("spans")).groupBy("gram", "context").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """rid, spans of each text (columns rid, text) with repeated bytes; spans may overlap."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -255,15 +298,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     equal = shared.where("not several").select("rid", F.col("a").alias("s"), (F.col("b") + LENGTH).alias("e"))
 
     several = shared.where("several")
-    distinct = several.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("rid", "a", "b")).alias("of"))
+    distinct = several.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("rid", "a", "b", "at")).alias("of"))
     distinct = runtime.written(distinct.select("gram", "context", "times", "of.*"), "distinct")
     hot = runtime.written(distinct.groupBy("gram").agg(F.count("*").alias("members")).where(F.col("members") > MEMBERS).select("gram", F.lit(True).alias("hot")), "hot")
-    wanted = distinct.join(_small(hot), "gram", "left").groupBy("rid").agg(F.collect_list(F.struct("gram", "context", "times", F.coalesce("hot", F.lit(False)).alias("hot"), "a", "b")).alias("wanted"))
+    wanted = distinct.join(_small(hot), "gram", "left").groupBy("rid").agg(F.collect_list(F.struct("gram", "context", "times", F.coalesce("hot", F.lit(False)).alias("hot"), "a", "b", "at")).alias("wanted"))
     wanted = runtime.written(wanted, "wanted")
     texts = docs.join(_small(wanted.select("rid")), "rid", "left_semi").join(wanted, "rid")
     cut = runtime.written(_cut(texts), "cut")
-    settled = _indexed(cut.where("not hot"), partitions).unionByName(_counted(cut.where("hot")))
-    settled = runtime.written(settled.where(F.size("spans") > 0).distinct(), "settled")
+    settled = _indexed(cut.where("not hot"), partitions).unionByName(_dealt(cut.where("hot"), partitions))
+    settled = runtime.written(settled.where(F.size("spans") > 0).dropDuplicates(["gram", "context"]), "settled")
     mixed = several.join(_small(settled), ["gram", "context"]).select("rid", "a", F.explode("spans").alias("span"))
     mixed = mixed.select("rid", (F.col("a") + F.col("span.s")).alias("s"), (F.col("a") + F.col("span.e")).alias("e"))
     spans = equal.unionByName(mixed).groupBy("rid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))

@@ -42,7 +42,7 @@ def test_contexts_hold_every_string_once():
     rng = random.Random(2)
     data = ["".join(rng.choice("ab") for _ in range(n)).encode() for n in (0, 199, 200, 201, 900, 3, 1500)] + [b"x" * 800]
     buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(x) for x in data])).astype(np.int64)
-    a, b, gram = bwt.representatives(buf, offsets)
+    a, b, _, gram = bwt.representatives(buf, offsets)
     got = sorted(s for x, y in zip(a, b) for s in range(x, y + 1))
     assert got == [o + i for o, x in zip(offsets, data) for i in range(len(x) - 199)]
     of = {}

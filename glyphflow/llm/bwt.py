@@ -39,8 +39,8 @@ AT_BITS = 22
 MEMBERS, INDEXED = 256, 1 << 17
 #: Starts of a cell of a gram with too many contexts.
 CELL = 16
-#: Rows of at most about 40 bytes that may be broadcast.
-BROADCAST_ROWS = 50_000
+#: Rows of at most about 40 bytes, and ids of 8 bytes, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_IDS = 50_000, 1_000_000
 
 
 def representatives(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,8 +163,8 @@ def runs(flags: np.ndarray) -> list[dict[str, int]]:
 SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hot = runtime.written(distinct.groupBy("gram").agg(F.count("*").alias("members")).where(F.col("members") > MEMBERS).select("gram", F.lit(True).alias("hot")), "hot")
     wanted = distinct.join(_small(hot), "gram", "left").groupBy("rid").agg(F.collect_list(F.struct("gram", "context", "times", F.coalesce("hot", F.lit(False)).alias("hot"), "a", "b", "at")).alias("wanted"))
     wanted = runtime.written(wanted, "wanted")
-    texts = docs.join(_small(wanted.select("rid")), "rid", "left_semi").join(wanted, "rid")
+    texts = docs.join(_small(wanted.select("rid"), BROADCAST_IDS), "rid", "left_semi").join(wanted, "rid")
     cut = runtime.written(_cut(texts), "cut")
     settled = _indexed(cut.where("not hot"), partitions).unionByName(_dealt(cut.where("hot"), partitions))
     settled = runtime.written(settled.where(F.size("spans") > 0).dropDuplicates(["gram", "context"]), "settled")
@@ -336,7 +336,7 @@ def without_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
             sizes = np.diff(offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sizes - np.diff(bounds)), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), kept], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    hit = _small(spans.select("rid"))
+    hit = _small(spans.select("rid"), BROADCAST_IDS)
     told = docs.join(hit, "rid", "left_semi").join(spans, "rid").select(F.col("doc_id").alias("key"), "text", "spans")
     told = told.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
     data = F.encode("text", "UTF-8")

@@ -1,12 +1,14 @@
 """Base rules against plain Python, the measures against the tokenizer libraries, and the defined cases."""
 
 import math
+import random
 import re
 from collections import Counter
 
 import base64
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import tiktoken
@@ -82,3 +84,34 @@ def test_bands_reject_and_keep():
     m = fertility.measures(buf, offsets, fertility.words_of(c.byte_vocabulary, c.piece_vocabulary))
     assert fertility.verdicts(m, [None, None], fertility.scripts_of(buf, offsets), config).tolist() == [True, False]
     assert fertility.verdicts(m, ["zz", None], fertility.scripts_of(buf, offsets), fertility.FertilityConfig(c.byte_vocabulary, c.piece_vocabulary, {})).tolist() == [True, True]
+
+
+def kept_by_default(texts, langs):
+    c = fertility.default_config()
+    buf, offsets = flat(texts)
+    m = fertility.measures(buf, offsets, fertility.words_of(c.byte_vocabulary, c.piece_vocabulary))
+    return fertility.verdicts(m, langs, fertility.scripts_of(buf, offsets), c), m
+
+
+def test_default_bands_by_length():
+    rng = random.Random(4)
+    words = "the old man went down to sea each morning and looked at grey waves because wind from east was bringing rain his sons waited near boat nets were ready evening village people came shore many fish brought home".split()
+    clean = [" ".join(rng.choices(words, k=k)) for k in (20, 80, 400, 4000)]
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(k)) for k in (20, 80, 400, 4000)]
+    kept, m = kept_by_default(clean + junk, ["en"] * 8)
+    assert not m["base_failed"].any()
+    assert kept.tolist() == [True] * 4 + [False] * 4
+
+
+def test_default_bands_on_held_out_labels():
+    """The default bands are from even document ids; these are the odd ones."""
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pandas()
+    labels = pq.read_table("/root/testdata/sf0.1/labels.parquet", columns=["doc_id", "quality"]).to_pandas()
+    rows = docs.merge(labels, on="doc_id")
+    rows = rows[(rows.doc_id % 2 == 1) & rows.text.notna()]
+    rows["kept"], m = kept_by_default(rows.text.tolist(), rows.lang.tolist())
+    rows = rows[~m["base_failed"]]
+    rejected = 1 - rows.groupby(["lang", "quality"]).kept.mean()
+    assert rejected["en", 0] > 0.8 and rejected["de", 0] > 0.8
+    assert rejected["fr", 0] > 0.3 and rejected["es", 0] > 0.3
+    assert all(rejected[lang, 1] < 0.03 for lang in ("en", "de", "fr", "es"))

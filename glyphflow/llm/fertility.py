@@ -2,8 +2,8 @@
 
 For each text two vocabularies measure characters per token; the one with byte fallback also gives the share of
 fallback tokens and the entropy of its tokens.  Each distinct word is tokenised once and remembered, so a vocabulary
-sees words, not running text.  A text is rejected when a measure leaves the band of its language, or of its script when
-its language has none, or when one of the base rules fails.
+sees words, not running text.  A text is rejected when a measure leaves the band of its language, of its script when its
+language has none, or of "other" when neither has one, or when one of the base rules fails.
 
 Defined cases: null and empty texts have no words and fail the base rules; texts of any length are measured whole;
 repeated rows get equal rows; a null or unknown language falls back on the script; other columns are not read.
@@ -66,7 +66,18 @@ BANDS = {
     "fr": Band(1.839, 3.15, 1.968, 2.61),
     "es": Band(1.757, 2.43, 1.933, 2.64),
     "latin": Band(1.0, 2.0, 1.0, 2.0),
-    "other": Band(0.0, 0.0, 0.0, 0.0, fallback=1.0, entropy=0.0),
+    # Scripts: between the measures of clean texts and of random letters.  Most tokens are single characters there.
+    "greek": Band(0.62, 0.8, 0.70, 0.8, fallback=0.15, entropy=0.2),
+    "cyrillic": Band(0.62, 0.8, 0.90, 0.8, fallback=0.15, entropy=0.2),
+    "hebrew": Band(0.60, 0.8, 0.70, 0.8, fallback=0.15, entropy=0.2),
+    "arabic": Band(0.60, 0.8, 0.72, 0.8, fallback=0.15, entropy=0.2),
+    "devanagari": Band(0.45, 0.8, 0.55, 0.8, fallback=0.25, entropy=0.2),
+    "thai": Band(0.38, 0.8, 0.70, 0.8, fallback=0.2, entropy=0.2),
+    "hangul": Band(0.30, 0.8, 0.45, 0.8, fallback=0.4, entropy=0.2),
+    "kana": Band(0.60, 0.8, 0.65, 0.8, fallback=0.25, entropy=0.2),
+    "han": Band(0.33, 0.8, 0.42, 0.8, fallback=0.4, entropy=0.2),
+    # Also for what has no band otherwise.  Letters of other scripts take a token or more each; ASCII symbols and digits don't.
+    "other": Band(0.25, 0.8, 0.25, 0.8, most=1.0, most_piece=1.05, fallback=0.5, entropy=0.2),
 }
 
 
@@ -183,7 +194,7 @@ def scripts_of(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def verdicts(m: dict[str, np.ndarray], groups: list[str | None], scripts: np.ndarray, config: FertilityConfig) -> np.ndarray:
     """Whether each text stays: no base rule fails and every measure lies in its band."""
-    names = [g if g in config.bands else s for g, s in zip(groups, scripts)]
+    names = [next((x for x in (g, s) if x in config.bands), "other") for g, s in zip(groups, scripts)]
     kept = ~m["base_failed"]
     spread = m["token_entropy"] / np.log2(np.maximum(m["n_pieces"], 2))
     told = m["n_pieces"] >= config.least_tokens

@@ -115,3 +115,41 @@ def test_default_bands_on_held_out_labels():
     assert rejected["en", 0] > 0.8 and rejected["de", 0] > 0.8
     assert rejected["fr", 0] > 0.3 and rejected["es", 0] > 0.3
     assert all(rejected[lang, 1] < 0.03 for lang in ("en", "de", "fr", "es"))
+
+
+#: Other texts than the bands were set by.
+CLEAN = {
+    "greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+    "cyrillic": "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה.",
+    "arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.",
+    "devanagari": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।",
+    "thai": "มนุษย์ ทั้งหลาย เกิดมา มีอิสระ และ เสมอภาค กัน ใน เกียรติศักดิ์ และ สิทธิ ต่าง มี เหตุผล และ มโนธรรม และ ควร ปฏิบัติ ต่อกัน ด้วย เจตนารมณ์ แห่ง ภราดรภาพ",
+    "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+    "kana": "すべての ひとは、 うまれながらにして じゆうであり、 そんげんと けんりとについて びょうどうである。 ひとは りせいと りょうしんとを さずけられており、 たがいに どうほうの せいしんを もって こうどうしなければ ならない。",
+    "han": "人人 生而 自由 在 尊严 和 权利 上 一律 平等 他们 赋有 理性 和 良心 并 应 以 兄弟 关系 的 精神 相 对待",
+}
+
+
+def test_no_script_escapes():
+    rng = random.Random(8)
+    ranges = {name: [chr(x) for x in range(a, b + 1) if chr(x).isalpha()] for name, a, b in fertility.SCRIPTS if name != "latin"}
+    assert set(CLEAN) == set(ranges)
+    drawn = lambda chars, k: " ".join("".join(rng.choices(chars, k=rng.randint(3, 9))) for _ in range(k))
+    junk = [drawn(ranges[name], k) for name in CLEAN for k in (20, 150)]
+    junk += [drawn(ranges[name][5:7], 60) for name in CLEAN]
+    junk += [drawn("#*$%&|<>!?@^~=+", 60), drawn([chr(x) for x in range(0x1F300, 0x1F600)], 60), drawn("0123456789", 60)]
+    for lang in (None, "xx"):
+        kept, m = kept_by_default([*CLEAN.values(), *junk], [lang] * (len(CLEAN) + len(junk)))
+        assert not m["base_failed"].any()
+        assert kept[: len(CLEAN)].all(), [n for n, k in zip(CLEAN, kept) if not k]
+        assert not kept[len(CLEAN) :].any(), [t[:30] for t, k in zip(junk, kept[len(CLEAN) :]) if k]
+
+
+def test_fall_back_band_of_all():
+    c = fertility.default_config()
+    assert {name for name, _, _ in fertility.SCRIPTS} | {"other"} <= set(c.bands)
+    config = fertility.FertilityConfig(c.byte_vocabulary, c.piece_vocabulary, {"other": c.bands["other"]})
+    buf, offsets = flat([CLEAN["han"], "丂丄丅丆丏丒丗丟丠両丣並 " * 2 + "丩丮丯丱丳丵丷丼乀乁 乂乄乆乊乑乕 乗乚乛 乢乣乤 乥乧乨 乪乫乬 乭乮乯 乲乴乵 乶乷乸 乹乺乻"])
+    m = fertility.measures(buf, offsets, fertility.words_of(c.byte_vocabulary, c.piece_vocabulary))
+    assert fertility.verdicts(m, [None, "zh"], fertility.scripts_of(buf, offsets), config).tolist() == [True, False]

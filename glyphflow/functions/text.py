@@ -5,8 +5,11 @@ Everything is a Spark expression but the step over grapheme clusters, an Arrow U
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +38,7 @@ def adapted(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda u: F.when(u.rlike(r"^(\.{3,}|．{3,})$"), F.repeat(F.lit("・"), F.length(u))).otherwise(u)), "")
 
 
+@lru_cache(1 << 16)
 def _unit(unit: str) -> str:
     if unit in ALIASES:
         out = ALIASES[unit]
@@ -47,15 +51,23 @@ def _unit(unit: str) -> str:
     return unicodedata.normalize("NFC", out)
 
 
-def folded_text(text: str) -> str | None:
-    """Every cluster folded, again until nothing changes; None for forbidden characters or without a fixed point."""
+#: What may change; two printable ASCII characters in a row never share a cluster.
+_CLUSTERED = re.compile(r"[ -~]?(?:[^ -}]+[ -~]?)+")
+
+
+def _folded_clusters(m: re.Match) -> str:
     import regex
 
+    return "".join(map(_unit, regex.findall(r"\X", m[0])))
+
+
+def folded_text(text: str) -> str | None:
+    """Every cluster folded, again until nothing changes; None for forbidden characters or without a fixed point."""
     for _ in range(TURNS):
         bare = text.strip()
-        if any(unicodedata.category(c) in ("Cc", "Cs") for c in bare):
+        if any(unicodedata.category(c) in ("Cc", "Cs") for c in set(bare)):
             return None
-        new = "".join(map(_unit, regex.findall(r"\X", bare)))
+        new = bare.replace("~", "〜") if bare.isascii() else _CLUSTERED.sub(_folded_clusters, bare)
         if new == text:
             return text
         text = new
@@ -114,21 +126,43 @@ def next_row(row: Column, target: Column, emitted: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(target)), zero, step)
 
 
+def _advanced(row: tuple[int, int, int], text: str, masks: dict[str, int], full: int) -> tuple[int, int, int]:
+    """A row of the edit-distance table, as its first value and the bits of its rises and falls, after more characters (Myers)."""
+    first, up, down = row
+    for c in text:
+        eq = masks.get(c, 0)
+        across = (((eq & up) + up) ^ up) | eq
+        kept = eq | down
+        rise, fall = down | (full & ~(across | up)), up & across
+        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(kept | rise)), rise & kept
+    return first + len(text), up, down
+
+
+def _packed(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def _values(row: tuple[int, int, int], size: int) -> np.ndarray:
+    bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(size // 8 + 1, "little"), np.uint8), count=size, bitorder="little").astype(np.int64)
+    return np.append(row[0], row[0] + np.cumsum(bits(row[1]) - bits(row[2])))
+
+
 def lattice_distance(options: list[list[str]], target: str) -> tuple[int, int]:
     """The least edit distance of a target to any path through option sets, and the target's length."""
-    row = list(range(len(target) + 1))
+    size = len(target)
+    full = (1 << size) - 1
+    points = np.frombuffer(target.encode("utf-32-le", "surrogatepass"), "<u4")
+    masks = {c: _packed(points == ord(c)) for c in set().union(*(t for choices in options for t in choices)) & set(target)}
+    row = (0, full, 0)
     for choices in options:
-        rows = []
-        for text in choices:
-            out = row
-            for c in text:
-                new = [out[0] + 1]
-                for i, t in enumerate(target):
-                    new.append(min(new[i] + 1, out[i + 1] + 1, out[i] + (t != c)))
-                out = new
-            rows.append(out)
-        row = [min(x) for x in zip(*rows)] if rows else row
-    return row[-1], len(target)
+        rows = [_advanced(row, t, masks, full) for t in choices]
+        if len(rows) > 1:  # neighbours in the least of several rows differ by one at most, too
+            least = np.minimum.reduce([_values(r, size) for r in rows])
+            steps = np.diff(least)
+            rows = [(int(least[0]), _packed(steps > 0), _packed(steps < 0))]
+        row = rows[0] if rows else row
+    return row[0] + row[1].bit_count() - row[2].bit_count(), size
 
 
 @F.pandas_udf(T.LongType())
@@ -150,3 +184,13 @@ def lattice(options: pd.Series, target: pd.Series) -> pd.Series:
         return lattice_distance(merged, goal)[0]
 
     return pd.Series([one(o, t) for o, t in zip(options, target)], dtype="int64")
+
+
+@F.pandas_udf(T.LongType())
+def edits(one: pd.Series, other: pd.Series) -> pd.Series:
+    """The edit distance of two texts of any length; null if one is null."""
+
+    def of(a: str | None, b: str | None) -> int | None:
+        return None if a is None or b is None else lattice_distance([[min(a, b, key=len)]], max(b, a, key=len))[0]
+
+    return pd.Series([of(a, b) for a, b in zip(one, other)], dtype="Int64")

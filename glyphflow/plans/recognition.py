@@ -190,7 +190,7 @@ def oracle_distance(spark, sf_dir):
     """The least distance of each prediction to a lattice that may repeat or drop its first character."""
     pairs = ocr_pairs(spark, sf_dir)
     first = F.substring("prediction", 1, 1)
-    sets = F.array(F.array(first, F.concat(first, first), F.lit("")), F.array(F.substring("prediction", 2, 60)))
+    sets = F.array(F.array(first, F.concat(first, first), F.lit("")), F.array(F.expr("substring(prediction, 2)")))
     return pairs.select("sample_id", text.lattice(sets, F.col("reference")).alias("distance"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphflow.functions import text
+
 # Lengths of a report, in order.
 BUCKETS = ("01", "02", "03-04", "05-08", "09-16", "17-32", "33-64", "65+")
 
@@ -14,8 +16,8 @@ def score(pairs: DataFrame, reference: Column, prediction: Column, subset: Colum
 
     Without rows, or without characters, the ratios are null.
     """
-    rows = pairs.select(reference.alias("r"), prediction.alias("p"), (subset if subset is not None else F.lit(True)).alias("of")).where("of")
-    total = rows.agg(F.count("*").alias("samples"), F.count_if(F.col("r") == F.col("p")).alias("exact_matches"), F.coalesce(F.sum(F.levenshtein("r", "p")), F.lit(0)).cast("long").alias("edit_distance"), F.coalesce(F.sum(F.length("r")), F.lit(0)).cast("long").alias("reference_characters"))
+    rows = pairs.select(reference.alias("r"), prediction.alias("p"), (subset if subset is not None else F.lit(True)).alias("of")).where("of").select("r", "p", text.edits("r", "p").alias("d"))
+    total = rows.agg(F.count("*").alias("samples"), F.count_if(F.col("r") == F.col("p")).alias("exact_matches"), F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("edit_distance"), F.coalesce(F.sum(F.length("r")), F.lit(0)).cast("long").alias("reference_characters"))
     return total.select("*", F.try_divide("exact_matches", "samples").alias("em"), F.try_divide("edit_distance", "reference_characters").alias("cer"))
 
 

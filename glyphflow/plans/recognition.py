@@ -126,7 +126,7 @@ def verifier_decision(spark, sf_dir):
 
 
 def editable_characters(spark, sf_dir):
-    chars = table(spark, sf_dir, "documents").select(F.explode(F.split(F.substring("text", 1, 200), "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    chars = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
     return chars.select("ch", "n", correct.editable(F.col("ch")).alias("editable"), correct.family(F.col("ch")).alias("family"))
 
 
@@ -138,7 +138,7 @@ def decoded_tokens(spark, sf_dir):
 
 
 def norm_adapter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.adapted(F.concat(F.substring("text", 1, 80), F.lit(" ... ．．．． .. ．"), F.repeat(F.lit("."), (F.col("doc_id") % 9).cast("int")))).alias("adapted"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.adapted(F.concat("text", F.lit(" ... ．．．． .. ．"), F.repeat(F.lit("."), (F.col("doc_id") % 9).cast("int")))).alias("adapted"))
 
 
 _SPECIAL = "!!?・・・・・・・ーー ..〜〜〜『x』"
@@ -146,14 +146,13 @@ _SPECIAL = "!!?・・・・・・・ーー ..〜〜〜『x』"
 
 def norm_key(spark, sf_dir):
     """Keys of ASCII texts with marks inserted, natively."""
-    shown = F.translate(F.regexp_replace(F.substring("text", 1, 120), "[^ -~]", "?"), ".,;", "!?~")
+    shown = F.translate(F.regexp_replace("text", "[^ -~]", "?"), ".,;", "!?~")
     return table(spark, sf_dir, "documents").select("doc_id", text.shown(text.key(F.concat(shown, F.lit(_SPECIAL), F.repeat(F.lit("."), (F.col("doc_id") % 9).cast("int"))), ascii_only=True)).alias("display"))
 
 
 def norm_folded(spark, sf_dir):
-    """Keys of whole first lines through the grapheme step."""
-    line = F.regexp_extract("text", r"^[^\n\r\t]*", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", text.key(line).alias("key"))
+    """Keys of whole texts through the grapheme step."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.key(F.col("text")).alias("key"))
 
 
 # Sources and what they are shown as.

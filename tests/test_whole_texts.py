@@ -1,6 +1,8 @@
 """Queries over texts against plain Python, on texts that differ only far from their beginnings."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -94,3 +96,48 @@ def test_edits(spark):
     rows = [(some(), some()) for _ in range(120)]
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", text.edits("a", "b").alias("d")).collect()
     assert all(d == (None if a is None or b is None else distance(a, b)) for a, b, d in got)
+
+
+#: What the cuts of round 1 left out: marks and rare characters behind 200 characters and behind a line break.
+TAILS = ["é!!?\nend......", "〜〜〜『x』\tß", " ..\n.. ーーー", "plain"]
+
+
+@pytest.fixture(scope="module")
+def tailed(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tailed"))
+    texts = [HEAD + t for t in TAILS] + ["short\n" + t for t in TAILS] + ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return path, texts
+
+
+def test_editable_characters(spark, tailed):
+    path, texts = tailed
+    got = {r.ch: r.n for r in recognition.editable_characters(spark, path).collect()}
+    assert got == Counter("".join(t for t in texts if t))
+
+
+def plain_adapted(t):
+    bare = "".join(c for c in t if c not in " 　\t\r\n")
+    return re.sub(r"\.{3,}|．{3,}", lambda m: "・" * len(m[0]), bare)
+
+
+def plain_key(t):
+    for pattern, to in (("ー{2,}", "ーー"), ("〜{2,}", "〜〜"), (r"!+\?[!?]*", "!?"), (r"\?+![!?]*", "?!"), (r"!{2,}", "!!"), (r"\?{2,}", "??")):
+        t = re.sub(pattern, to, t.replace("『", "「").replace("』", "」"))
+    return re.sub("・{3,}", lambda m: "・" * (6 if len(m[0]) > 6 else 3), t)
+
+
+def test_norms_of_whole_texts(spark, tailed):
+    path, texts = tailed
+    adapter = {r.doc_id: r.adapted for r in recognition.norm_adapter(spark, path).collect()}
+    keys = {r.doc_id: r.display for r in recognition.norm_key(spark, path).collect()}
+    folded = {r.doc_id: r.key for r in recognition.norm_folded(spark, path).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert adapter[i] is keys[i] is folded[i] is None
+            continue
+        dots = "." * (i % 9)
+        assert adapter[i] == plain_adapted(t + " ... ．．．． .. ．" + dots)
+        shown = re.sub("[^ -~]", "?", t).translate(str.maketrans(".,;", "!?~"))
+        assert keys[i] == plain_key(plain_adapted(shown + recognition._SPECIAL + dots).replace("~", "〜"))
+        assert folded[i].replace(text.DOT, "・") == plain_key(plain_adapted(t))

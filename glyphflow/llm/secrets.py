@@ -2,12 +2,12 @@
 
 Base spans come from three patterns.  The method adds spans: for each labelled kind of credential a prefix tree of its
 examples is merged, state by state, where the statistics of two states don't differ by more than chance (Hoeffding's
-bound), into a probabilistic automaton over character classes; one more automaton is inferred from ordinary tokens.  Every
-maximal run of LEAST token characters or more is scored by all automata, and is a secret of the likeliest kind if that
-beats the ordinary automaton by MARGIN bits.
+bound), into a probabilistic automaton over character classes; one more automaton is inferred from ordinary tokens.  In every
+maximal run of token characters, each part of LEAST or more between separators or ends is scored by all automata, and is
+a secret of the likeliest kind if that beats the ordinary automaton by MARGIN bits and no better parts overlap it.
 
 Defined cases: null and empty texts have no spans; texts of any length are scanned whole; spans of different kinds may
-overlap, but a scored run that overlaps a base span is dropped; equal rows get equal rows; other columns are kept apart.
+overlap, but a scored part inside a base span is dropped; equal rows get equal rows; other columns are kept apart.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 #: Characters of a scored run at least, and bits by which a kind must beat ordinary tokens.
 LEAST, MARGIN = 20, 12.0
+SEPARATORS = b"/.-_+"
 TOKEN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-"))
 HEXES = np.isin(np.arange(256), list(b"0123456789abcdef"))
 #: Character classes, the symbols of the automata.
@@ -203,27 +204,70 @@ def likelihoods(automaton: Automaton, symbols: np.ndarray, starts: np.ndarray, s
     return out + automaton.end[state]
 
 
+def stacked(automata: tuple[Automaton, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Automata as one table of states: to, log and end, and the first state of each."""
+    first = np.append(0, np.cumsum([len(a.end) for a in automata]))
+    return np.concatenate([a.to + n for a, n in zip(automata, first)]), np.concatenate([a.log for a in automata]), np.concatenate([a.end for a in automata]), first[:-1]
+
+
 def scored(buf: np.ndarray, offsets: np.ndarray, formats: Formats) -> list[tuple[int, str, int, int]]:
-    """row, kind, start and end in bytes of the runs that are secrets by their format."""
+    """row, kind, start and end in bytes of the parts of runs that are secrets by their format.
+
+    A part starts where its run does or after a separator, and ends at one or with its run.  Of all choices of parts that
+    don't overlap, the one with the greatest sum of gains over MARGIN is found in one pass over positions: of all starts
+    that have led a run's automata into the same states, only the best can be part of it.
+    """
     starts, ends, rows = textkit.spans(TOKEN[buf], offsets)
-    long = ends - starts >= LEAST
-    starts, ends, rows = starts[long], ends[long], rows[long]
-    trimmed = np.isin(buf, list(b"._-/+"))
-    while len(starts) and (more := trimmed[np.minimum(starts, len(buf) - 1)] & (starts < ends)).any():
-        starts = starts + more
-    while len(starts) and (more := trimmed[ends - 1] & (starts < ends)).any():
-        ends = ends - more
-    long = ends - starts >= LEAST
-    starts, ends, rows = starts[long], ends[long], rows[long]
-    if not len(starts):
+    long = np.flatnonzero(ends - starts >= LEAST)
+    if not len(long):
         return []
+    long = long[np.argsort(starts[long] - ends[long], kind="stable")]  # the longest first
+    starts, rows, sizes = starts[long], rows[long], (ends - starts)[long]
     symbols = SYMBOL[buf]
-    sizes = ends - starts
-    plain = likelihoods(formats.ordinary, symbols, starts, sizes)
-    each = np.stack([likelihoods(a, symbols, starts, sizes) for a in formats.automata]) - plain
-    best = each.argmax(0)
-    hit = np.flatnonzero(each.max(0) >= MARGIN)
-    return [(int(rows[i]), formats.kinds[best[i]], int(starts[i]), int(ends[i])) for i in hit]
+    between = np.append(np.isin(buf, list(SEPARATORS)), True)
+    to, log, end, first = stacked(formats.automata)
+    plain, kinds = formats.ordinary, len(first)
+    kind_of = np.repeat(np.arange(kinds), [len(a.end) for a in formats.automata])
+    best, last = np.zeros(len(starts)), np.full(len(starts), -1)  # of each run so far: the sum, and the record it ends in
+    records: list[tuple[int, int, int, int]] = []  # kind, start, end, record before
+    run, state, usual, since, before = (np.zeros(0, np.int64) for _ in range(5))
+    value, few = np.zeros(0), 0
+    for k in range(int(sizes[0])):
+        live = int(np.searchsorted(-sizes, -k))  # runs with more than k characters
+        at = starts[:live] + k
+        opened = np.flatnonzero(~between[at] & (between[at - 1] | (k == 0)) & (sizes[:live] - k >= LEAST))
+        if len(opened):
+            run, state, usual = np.append(run, np.repeat(opened, kinds)), np.append(state, np.tile(first, len(opened))), np.append(usual, np.zeros(len(opened) * kinds, np.int64))
+            since, before = np.append(since, np.full(len(opened) * kinds, k)), np.append(before, np.repeat(last[opened], kinds))
+            value = np.append(value, np.repeat(best[opened] - MARGIN, kinds))
+        symbol = symbols[starts[run] + k]
+        value += log[state, symbol] - plain.log[usual, symbol]
+        state, usual = to[state, symbol], plain.to[usual, symbol]
+        closed = ~between[at] & ((sizes[:live] == k + 1) | between[at + 1])
+        if closed.any():
+            done = np.flatnonzero(closed[run] & (k + 1 - since >= LEAST))
+            total = value[done] + end[state[done]] - plain.end[usual[done]]
+            done, total = done[better := total > best[run[done]]], total[better]
+            for i in np.argsort(total, kind="stable").tolist():  # the best of a run comes last
+                e = done[i]
+                best[run[e]], last[run[e]] = total[i], len(records)
+                records.append((int(kind_of[state[e]]), int(since[e]), k + 1, int(before[e])))
+        keep = sizes[run] > k + 1
+        if not keep.all():
+            run, state, usual, since, before, value = (x[keep] for x in (run, state, usual, since, before, value))
+        if len(run) > 2 * few + 64:
+            order = np.lexsort((-value, usual, state, run))
+            r, s, u = run[order], state[order], usual[order]
+            order = order[np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (u[1:] != u[:-1]))]
+            run, state, usual, since, before, value = (x[order] for x in (run, state, usual, since, before, value))
+            few = len(run)
+    out = []
+    for i in np.flatnonzero(last >= 0).tolist():
+        at = last[i]
+        while at >= 0:
+            kind, a, b, at = records[at]
+            out.append((int(rows[i]), formats.kinds[kind], int(starts[i]) + a, int(starts[i]) + b))
+    return sorted(out, key=lambda x: x[2])
 
 
 def _masked(kind: str, m: re.Match) -> tuple[int, int]:
@@ -263,7 +307,7 @@ def found(buf: np.ndarray, offsets: np.ndarray, formats: Formats) -> list[tuple[
         every = list(base)
         for kind, a, b in extra.get(i, ()):
             a, b = (len(data[at[i] : x].decode("utf-8", "surrogatepass")) for x in (a, b))
-            if not any(a < y and x < b for _, x, y, _ in base):
+            if not any(x <= a and b <= y for _, x, y, _ in base):
                 every.append((kind, a, b, a))
         order = [*BASE, *formats.kinds]
         out.append((base, sorted(every, key=lambda x: (x[1], order.index(x[0])))))

@@ -366,7 +366,7 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of each row."""
-    return _placed(df, text, key).drop("rid")
+    return _placed(df, text, key).drop("rid", "root")
 
 
 def _placed(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -427,18 +427,28 @@ def _placed(df: DataFrame, text: str, key: str) -> DataFrame:
     named = classes.join(trees, "sid", "left").where("copies > 1 or tree is not null").select("sid", "least", F.coalesce("tree", "sid").alias("root"))
     named = runtime.written(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = runtime.written(named.join(least, "root").groupBy("sid").agg(F.min("component_id").alias("component_id")), "named")
+    named = runtime.written(named.join(least, "root").groupBy("sid").agg(F.min("component_id").alias("component_id"), F.min("root").alias("root")), "named")
     out = docs.select("doc_id", "rid", "n", "sid").join(_by_size(named), "sid", "left")
-    return out.select("rid", F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("rid", F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def representatives(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of df but those that are linked with a row of a smaller key; rows equal in key and text are all alike.
+    """One row of df for each component: of those with its smallest key, or of all if none has a key, one of the least hash.
 
-    A row with a null key stays only if its component has no key.
+    Blank texts have no links, so each of their rows is a component.
     """
-    gone = _placed(df, text, key).where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col("rid").alias("__rid")).distinct()
-    left = df.withColumn("__rid", F.xxhash64(df[key], df[text])).join(_by_size(runtime.written(gone, "gone")), "__rid", "left_anti")
+    placed = runtime.written(_placed(df, text, key).select("rid", "root", F.col(key).eqNullSafe(F.col("component_id")).alias("first")), "placed")
+    several = placed.where("first and root is not null").groupBy("root", "rid").agg(F.count("*").alias("times"))
+    several = runtime.written(several, "several")
+    chosen = several.groupBy("root").agg(F.min("rid").alias("chosen"), F.count("*").alias("rids")).where("rids > 1")
+    others = several.join(_by_size(runtime.written(chosen, "chosen")), "root").where("rid <> chosen").select("rid")
+    gone = placed.where("not first").select("rid").unionByName(others).distinct().withColumnRenamed("rid", "__rid")
+    gone = _by_size(runtime.written(gone, "gone"))
+    left = df.withColumn("__rid", F.xxhash64(df[key], df[text])).join(gone, "__rid", "left_anti")
+    again = runtime.written(several.where("times > 1").select(F.col("rid").alias("__rid")), "again")
+    if again.take(1):
+        again = _by_size(again)
+        left = left.join(again, "__rid", "left_anti").unionByName(left.join(again, "__rid", "left_semi").dropDuplicates(["__rid"]))
     return left.drop("__rid")
 
 

@@ -101,3 +101,17 @@ def test_sketches_bound_the_difference():
         for j in range(len(sets)):
             least = partenum.differing(sketch[[i]], sketch[[j]], sizes[[i]], sizes[[j]])[0]
             assert least <= len(np.setxor1d(sets[i], sets[j])) and (i != j or least == 0)
+
+
+def test_one_representative_of_each_component(spark):
+    words = [f"w{i}" for i in range(300)]
+    near = lambda a, i: " ".join(words[a : a + 40] + [f"x{i}"])
+    rows = [(1, near(0, 0), "a"), (1, near(0, 0), "a"), (1, near(0, 0), "b"), (2, near(0, 1), "a")]  # a repeated row
+    rows += [(3, near(60, 0), "a"), (3, near(60, 1), "a"), (4, near(60, 2), "a")]  # near texts of one id
+    rows += [(None, near(120, 0), "a"), (None, near(120, 0), "a"), (None, near(120, 1), "a")]  # ids that are null
+    rows += [(None, near(180, 0), "a"), (5, near(180, 1), "a"), (6, near(240, 0), "a"), (3, "another text of the id three", "a"), (7, "", "a"), (8, None, "a")]
+    got = partenum.representatives(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    group = lambda r: (r[1] or "").rsplit(" ", 1)[0] or r[0]
+    assert sorted(map(str, map(group, got))) == sorted(map(str, {group(r) for r in rows}))
+    assert {r.doc_id for r in got} == {1, 3, None, 5, 6, 7, 8}
+    assert all(tuple(r) in rows for r in got)

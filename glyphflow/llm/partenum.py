@@ -1,26 +1,30 @@
 """Jaccard self-join of word-shingle sets by PartEnum signatures, and the components of its links.
 
-Sets of like size fall into bands whose bounds differ by the threshold, so linked sets lie in one band or in two
-neighbouring ones.  Each band j has an instance for pairs within it and with band j - 1: linked sets there differ in at
-most h elements, the domain is partitioned into more than h parts, and a signature is the content of one part.  A set
-signs its first h + 1 parts that aren't empty; at most h parts differ, so linked sets share a signature.
+Sets of like size fall into bands; linked sets lie in one band or in two neighbouring ones.  Each band has an instance
+for pairs within it and with the band below, in which linked sets differ in at most h elements.  An instance partitions
+the domain into parts of three pieces each and enumerates, in each part, the three subsets of two pieces: a signature is
+the content of such a subset.  A difference spoils one piece, and a part whose set has two pieces or more filled needs two
+spoilt pieces to lose all its signatures, a part with one filled piece needs one.  A set signs its parts in order until
+these costs reach h + 2 s - 1, so linked sets share at least s signatures.  In bands of sets up to SMALL a part is a single
+value of the domain, and a set signs its first h + s elements.
 
 The steps, each a table in the shared folder:
 
-1. Screening: in a fixed order of shingles, the first t that linked sets have in common lie in the first quarter of each
-   set plus t (its prefix), so sets with too few prefix shingles that occur in other prefixes need no signatures.
-2. Signatures of the sets left.  In each of a few turns every bucket has a pivot, every set is compared, exactly, with
-   the pivot that it shares most buckets with, and linked sets become one tree; buckets of one tree are done.
-3. Buckets that still hold several trees: all pairs of sets of different trees, in blocks, pruned by a bound from cell
-   counts, then exactly.  Sets with too few parts that aren't empty are joined on prefix shingles instead.
-4. Components: trees joined by the links of step 3, contracted until none is left.
+1. Sets: size and identity of each text's set; equal sets are one node from here on.
+2. Buckets: signatures, packed by range, meet in one task for each range, which labels each bucket of several sets with
+   its member of least hash (a bucket of over MOST entries with its own signature) and counts, for each set, instance and
+   label, the buckets.  A set with fewer than s shared signatures in an instance has no links there.  Linked sets share s
+   buckets, hence labels, so each set may leave the labels of its fewest buckets, (s - 1) // 2 in all.
+3. Verification: the sets under one label, with their elements, in blocks of at most BLOCK sets; each task intersects them
+   by products of incidence matrices and returns a spanning forest of their links, fewer rows than sets.
+4. Labels of more than one block: the sets outside the label's commonest tree visit all blocks.
+5. Components: trees contracted until no link is left.
 
-Equal sets are one node from the start, so copies cost one row each.  No bucket is gathered by one task: pivots come from
-partial aggregation, joins are split by the adaptive planner, and blocks are bounded.
+No task gathers a bucket, a label or a component whole: buckets over MOST stream through, labels are split into blocks.
 
 Defined cases: null and blank texts have an empty set and no links; a document with fewer words than a shingle has their
 sequence as its only element; equal rows are copies; a row with a null id is linked like others and doesn't give its
-component an id; other columns are not read.
+component's name (which is null if no row of it has an id); other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,28 +33,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphflow.llm import runtime, textkit
 
 U64 = np.uint64
 WORDS, NUM, DEN = 5, 75, 100
-CELLS, LARGE = 128, 1500
-#: One element in EXTRA is asked of a prefix in common, if that is more than one.
-EXTRA = 10
-#: Edges (16 bytes each) that one task may contract.
-ONE_TASK = 500_000
-#: Turns of comparing with pivots, before all pairs of what is left apart.
-PIVOTS = 4
-#: Rows of a block of a bucket; rows of a table that may be broadcast (8 bytes each).
-BLOCK, BROADCAST_ROWS = 1024, 1_000_000
+#: Bands up to this size have a part for each value of the domain.
+SMALL = 156
+#: Elements of a part, on average, in the largest sets of a band; one in SHARES of the least h is asked for in common.
+CONTENT, SHARES = 2.6, 4
+#: Signatures of a range, on average; signatures that a writing task packs at a time; entries of a bucket held by a task.
+RANGE, PACK, MOST = 2_000_000, 4_000_000, 1_000_000
+#: Sets and elements of a block; columns of an incidence matrix.
+BLOCK, BLOCK_ELEMENTS, COLUMNS = 4096, 4_000_000, 2048
+#: Edges (16 bytes each) that one task may contract; rows of a table that may be broadcast (8 to 24 bytes each).
+ONE_TASK, BROADCAST_ROWS = 500_000, 1_000_000
+#: Bits left of a signature in its bucket.
+KEPT = 56
 
 
 def _bounds(most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
     low, lows, highs = 1, [], []
     while low < most:
-        high = low * DEN // NUM
+        high = low * DEN * DEN // (NUM * NUM)
         lows.append(low)
         highs.append(high)
         low = high + 1
@@ -83,128 +90,209 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[
     return keys[first], owners[first]
 
 
-def prefix_size(n: np.ndarray) -> np.ndarray:
-    """Elements that hold the first max(1, n // EXTRA) that the set has in common with a linked set."""
-    return np.minimum(n - (NUM * n + DEN - 1) // DEN + np.maximum(1, n // EXTRA), n)
+def shares(instance: np.ndarray) -> np.ndarray:
+    """s: signatures that linked sets have in common at least."""
+    least = (NUM * LOWS[instance] + DEN - 1) // DEN  # the smallest partner of the smallest set of the band
+    return np.maximum(1, 2 * least // 7 // SHARES)
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values.view(np.int64), pa.int64()))
-
-
-def _sets(df: DataFrame, full: bool) -> DataFrame:
-    """doc_id, rid, n, sid and the elements: all, or a prefix where a task meets a set for the first time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            buf, offsets = textkit.texts_of(batch.column(2))
-            for a, b in textkit.chunks(offsets):
-                keys, rows = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                n = np.bincount(rows, minlength=b - a)
-                sums = np.append(U64(0), np.cumsum(textkit.mix(keys ^ U64(0x5BD1E995))))
-                ends = np.cumsum(n)
-                sid = textkit.mix(sums[ends] - sums[ends - n] + n.astype(U64)).view(np.int64)
-                took = n if full else prefix_size(n) * (n > 0)
-                if not full:
-                    new = np.array([not (s in seen or seen.add(s)) for s in sid.tolist()], bool)
-                    took = took * new
-                part = keys[textkit.take_ranges(ends - n, took)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n, pa.int64()), pa.array(sid, pa.int64(), mask=n == 0), _lists(part, took)], ["doc_id", "rid", "n", "sid", "elements"])
-
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, rid long, n long, sid long, elements array<long>")
-
-
-def _signed(n: np.ndarray, band: np.ndarray, instance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set in an instance: the number of parts, and how many it signs (h + 1)."""
-    most = np.minimum(HIGHS[instance], n * DEN // NUM)
-    parts = (2 * HIGHS[instance] // 7 + 1) * 5 // 4 + 2
-    return parts, (n + most) // 7 + 1
-
-
-def signatures(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The signatures of sets (elements one set after another, sizes), the set of each, and which sets have too few."""
-    band = np.searchsorted(LOWS, n, "right") - 1
-    rows = np.repeat(np.arange(len(n)), n)
-    mixed, content = textkit.mix(keys + U64(0x2545F4914F6CDD1D)), textkit.mix(keys ^ U64(0x9E6C63D0876A9A47))
-    out, owners, few = [], [], np.zeros(len(n), bool)
+def signatures(keys: np.ndarray, n: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures of sets (ascending elements one set after another, sizes), the set of each, whether it is of the
+    instance of the band above, and which sets have too few filled pieces for the promise."""
+    band, ends = np.searchsorted(LOWS, n, "right") - 1, np.cumsum(n)
+    out, owners, steps, few = [], [], [], np.zeros(len(n), bool)
+    spread, content = (U64(0x2545F4914F6CDD1D * (salt * 2 + 1) & (1 << 64) - 1), U64(0x9E6C63D0876A9A47))
     for step in (0, 1):
         instance = band + step
         used = np.ones(len(n), bool) if step == 0 else n * DEN // NUM >= LOWS[instance]
-        parts, sign = _signed(n, band, instance)
-        parts, sign = parts * used, sign * used
+        h = (n + np.minimum(HIGHS[instance], n * DEN // NUM)) // 7
+        s = shares(instance)
+        small = HIGHS[instance] <= SMALL
+        took = np.where(used & small, np.minimum(h + s, n), 0)
+        row = np.repeat(np.arange(len(n)), took)
+        singles = textkit.mix(keys[textkit.take_ranges(ends - n, took)] + (instance[row].astype(U64) << U64(40)) + U64(5))
+        out.append(singles)
+        owners.append(row)
+
+        large = used & ~small
+        parts = np.where(large, (HIGHS[instance] / CONTENT).astype(np.int64) + 2, 0)
+        size = np.where(large, n, 0)
+        row, key = np.repeat(np.arange(len(n)), size), keys[textkit.take_ranges(ends - n, size)]
         at = np.append(0, np.cumsum(parts))
-        mine = used[rows]
-        cell = at[rows[mine]] + (mixed[mine] % np.maximum(parts, 1).astype(U64)[rows[mine]]).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        ranked = cell[order]
-        sums = np.append(U64(0), np.cumsum(content[mine][order]))
-        last = np.append(np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, len(ranked)) if len(ranked) else np.zeros(0, np.int64)
-        total = sums[last] - sums[np.append(0, last[:-1])] if len(last) else np.zeros(0, U64)
-        cells = ranked[last - 1] if len(last) else np.zeros(0, np.int64)
-        owner = np.searchsorted(at, cells, "right") - 1
-        have = np.bincount(owner, minlength=len(n))
-        rank = np.arange(len(cells)) - (np.cumsum(have) - have)[owner]
-        took = rank < sign[owner]
-        few |= used & (have < sign)
-        place = textkit.mix((instance[owner].astype(U64) << U64(40)) + (cells - at[owner]).astype(U64))
-        out.append(textkit.mix(total + place)[took])
-        owners.append(owner[took])
-    return np.concatenate(out), np.concatenate(owners), few
-
-
-def sketches(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """CELLS bytes for each set, of which differing() bounds from below what two sets differ in.
-
-    Up to LARGE elements they are the parities of 8 * CELLS parts, beyond that the counts of CELLS parts, 255 at most.
-    """
-    rows, mixed = np.repeat(np.arange(len(n)), n), textkit.mix(keys ^ U64(0x1D8E4E27C47D124F))
-    large = n > LARGE
-    out = np.zeros((len(n), CELLS), np.uint8)
-    big = large[rows]
-    counts = np.bincount(rows[big] * CELLS + (mixed[big] % U64(CELLS)).astype(np.int64), minlength=len(n) * CELLS).reshape(len(n), CELLS)
-    out[large] = np.minimum(counts[large], 255)
-    small = np.flatnonzero(~large)
-    place = np.cumsum(~large) - 1
-    for k in range(0, len(small), 4096):
-        part = (place[rows] >= k) & (place[rows] < k + 4096) & ~big
-        bits = np.bincount((place[rows[part]] - k) * 8 * CELLS + (mixed[part] % U64(8 * CELLS)).astype(np.int64), minlength=len(small[k : k + 4096]) * 8 * CELLS) & 1
-        out[small[k : k + 4096]] = np.packbits(bits.astype(bool).reshape(-1, 8 * CELLS), axis=1)
-    return out
+        cell = 3 * at[row] + (textkit.mix(key + spread) % np.maximum(3 * parts, 1).astype(U64)[row]).astype(np.int64)
+        pieces = np.zeros(3 * at[-1], U64)
+        np.add.at(pieces, cell, textkit.mix(key ^ content))
+        pieces = pieces.reshape(-1, 3)
+        cost = np.minimum((pieces != 0).sum(1), 2)
+        sums = np.append(0, np.cumsum(cost))
+        owner = np.repeat(np.arange(len(n)), parts)
+        need = h + 2 * s - 1
+        few |= large & (sums[at[1:]] - sums[at[:-1]] < need)
+        signed = np.flatnonzero((cost > 0) & (sums[:-1] - sums[at[owner]] < need[owner]))
+        owner = owner[signed]
+        place = textkit.mix((instance[owner].astype(U64) << U64(40)) + (signed - at[owner]).astype(U64))
+        for code, (x, y) in enumerate(((0, 1), (0, 2), (1, 2)), 1):
+            total = pieces[signed, x] + pieces[signed, y]
+            filled = total != 0
+            out.append(textkit.mix(total + place + U64(code))[filled])
+            owners.append(owner[filled])
+        steps.append(np.full(sum(map(len, out)) - sum(map(len, steps)), step, np.int64))
+    return np.concatenate(out), np.concatenate(owners), np.concatenate(steps), few
+
+
+def _identities(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The identity of each set."""
+    sums = np.append(U64(0), np.cumsum(textkit.mix(keys ^ U64(0x5BD1E995))))
+    ends = np.cumsum(n)
+    return textkit.mix(sums[ends] - sums[ends - n] + n.astype(U64))
+
+
+def _parsed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """first and last row, elements, sizes and identities of the sets of a column of texts, a chunk at a time."""
+    buf, offsets = textkit.texts_of(column)
+    for a, b in textkit.chunks(offsets):
+        keys, rows = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        n = np.bincount(rows, minlength=b - a)
+        yield a, b, keys, n, _identities(keys, n)
+
+
+def _new(sid: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which sets aren't empty and are met for the first time."""
+    return np.array([bool(m) and not (s in seen or seen.add(s)) for s, m in zip(sid.tolist(), n.tolist())], bool)
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, n, sid (null for an empty set) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, _, n, sid in _parsed(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n, pa.int64()), pa.array(sid.view(np.int64), pa.int64(), mask=n == 0)], ["doc_id", "rid", "n", "sid"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, n long, sid long")
 
 
-def differing(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """At least how many elements sets of these sketches and sizes differ in."""
-    same = np.abs(n - m)
-    bits = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-    counts = np.abs(x.astype(np.int16) - y).sum(1, dtype=np.int64)
-    return np.maximum(same, np.where((n <= LARGE) & (m <= LARGE), bits, np.where((n > LARGE) & (m > LARGE), counts, 0)))
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes before all second ones, so that the high ones of small numbers compress."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
-def _elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(column.flatten()).astype(np.int64).view(U64), np.diff(np.asarray(column.offsets)).astype(np.int64)
+def _unplaned(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
 
 
-def _signature_rows(sets: DataFrame) -> DataFrame:
-    """sig, sid; a set with too few parts also has a row with sig null."""
+def _packed(docs: DataFrame, ranges: int, salt: int) -> DataFrame:
+    """range, sigs, refs, sids, sizes: the signatures of many sets in a range, ascending, as differences; refs hold the place
+    of a signature's set among sids and sizes, twice, plus its step.  A range of -1 tells of a set with too few pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        first = total = 0
+
+        def pack() -> pa.RecordBatch:
+            sig, ref, sid, n = (np.concatenate([h[i] for h in held]) for i in range(4))
+            order = np.argsort(sig)
+            sig, ref = sig[order], ref[order]
+            edges = np.searchsorted(sig, (np.arange(1, ranges) * ((1 << KEPT) / ranges)).astype(U64))
+            rows = []
+            for k, (a, b) in enumerate(zip(np.append(0, edges).tolist(), np.append(edges, len(sig)).tolist())):
+                if a < b:
+                    own, place = np.unique(ref[a:b] >> 1, return_inverse=True)
+                    places = (place * 2 + (ref[a:b] & 1)).astype(np.uint32)
+                    rows.append((k, _planes(np.diff(sig[a:b], prepend=U64(0))), _planes(places), sid[own].tobytes(), _planes(n[own].astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(5)], names)
+
+        names = ["range", "sigs", "refs", "sids", "sizes"]
         for batch in batches:
-            keys, n = _elements(batch.column(1))
-            sid = np.asarray(batch.column(0))
-            sig, owner, few = signatures(keys, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(sig.view(np.int64), np.zeros(few.sum(), np.int64)), pa.int64(), mask=np.append(np.zeros(len(sig), bool), np.ones(few.sum(), bool))), pa.array(np.append(sid[owner], sid[few]), pa.int64())], ["sig", "sid"])
+            for _, _, keys, n, sid in _parsed(batch.column(0)):
+                new = _new(sid, n, seen)
+                keys, n, sid = keys[np.repeat(new, n)], n[new], sid[new]
+                sig, owner, step, few = signatures(keys, n, salt)
+                if few.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([b""], pa.binary()) for _ in range(4))], names)
+                held.append((sig >> U64(64 - KEPT), (owner + first) * 2 + step, sid, n))
+                first, total = first + len(n), total + len(sig)
+                if total >= min(max(ranges * 4096, RANGE // 8), PACK):
+                    yield pack()
+                    held, first, total = [], 0, 0
+        if total:
+            yield pack()
+
+    return docs.select("text").mapInArrow(run, "range int, sigs binary, refs binary, sids binary, sizes binary")
+
+
+def _labelled(packed: DataFrame, most: int) -> DataFrame:
+    """sid, n, instance, label, times: in how many buckets of several sets a set has a label.  Nulls tell of a range of -1.
+
+    One task holds a range; of a bucket of over `most` entries it holds at most that many and the last batch.
+    """
 
-    return sets.select("sid", "elements").mapInArrow(run, "sig long, sid long")
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("instance", pa.int32()), ("label", pa.int64()), ("times", pa.int64())])
 
+    def rows(sid: np.ndarray, n: np.ndarray, step: np.ndarray, label: np.ndarray, times: np.ndarray | None = None) -> pa.RecordBatch:
+        instance = np.searchsorted(LOWS, n, "right") - 1 + step
+        times = np.ones(len(n), np.int64) if times is None else times
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((sid.view(np.int64), n.astype(np.int64), instance, label.view(np.int64), times), schema)], schema=schema)
 
-def _sketch_rows(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, n = _elements(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in sketches(keys, n)], pa.binary())], ["sid", "n", "sketch"])
+        parts: list[tuple[np.ndarray, ...]] = []
+        hot, limit, total = np.zeros(0, U64), 4 * most + RANGE, 0
 
-    return sets.select("sid", "elements").mapInArrow(run, "sid long, n long, sketch binary")
+        def joined() -> list[np.ndarray]:
+            return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, U64) for i in range(4)]
+
+        for batch in batches:
+            for at, sigs, refs, sids, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                if at < 0:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in schema], schema=schema)
+                    continue
+                sig, ref = np.cumsum(_unplaned(sigs, U64), dtype=U64), _unplaned(refs, np.uint32)
+                sid, n, step = np.frombuffer(sids, U64)[ref >> 1], _unplaned(sizes, np.uint32)[ref >> 1], (ref & 1).astype(np.uint8)
+                known = np.isin(sig, hot) if len(hot) else np.zeros(len(sig), bool)
+                if known.any():
+                    yield rows(sid[known], n[known], step[known], textkit.mix(sig[known]))
+                parts.append((sig[~known], sid[~known], n[~known], step[~known]))
+                total += len(sig) - int(known.sum())
+                if total > limit:
+                    sig, sid, n, step = joined()
+                    values, times = np.unique(sig, return_counts=True)
+                    hot = np.union1d(hot, values[times > most])
+                    known = np.isin(sig, hot)
+                    yield rows(sid[known], n[known], step[known], textkit.mix(sig[known]))
+                    parts = [(sig[~known], sid[~known], n[~known], step[~known])]
+                    total = len(parts[0][0])
+                    limit = max(limit, 2 * total)
+        sig, sid, n, step = joined()
+        if not len(sig):
+            return
+        order = np.argsort(sig, kind="stable")
+        ranked = sig[order]
+        bucket = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])) - 1
+        size = np.bincount(bucket)
+        several = size[bucket] > 1
+        order, bucket = order[several], bucket[several]
+        own = textkit.mix(sid[order] + U64(0x1B873593))
+        again = np.lexsort((own, bucket))
+        order, bucket, own = order[again], bucket[again], own[again]  # by bucket, then by the hash of the set
+        one = np.append(True, (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1]))[: len(order)]  # copies met by several tasks
+        large = size[bucket] > most
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(order)])
+        length = np.diff(np.append(first, len(order)))
+        label = np.where(large, textkit.mix(sig[order]), np.repeat(sid[order][first], length))
+        sets = np.add.reduceat(one, first) if len(first) else np.zeros(0, np.int64)
+        keep = (one & (np.repeat(sets, length) > 1)) | large
+        if not keep.any():
+            return
+        order, label = order[keep], label[keep]
+        ranks = np.lexsort((label, step[order], sid[order]))
+        order, label = order[ranks], label[ranks]
+        start = np.flatnonzero(np.append(True, (sid[order][1:] != sid[order][:-1]) | (step[order][1:] != step[order][:-1]) | (label[1:] != label[:-1])))
+        chosen = order[start]
+        yield rows(sid[chosen], n[chosen], step[chosen], label[start], np.diff(np.append(start, len(order))))
+
+    return packed.mapInArrow(run, "sid long, n long, instance int, label long, times long")
 
 
 def _by_size(df: DataFrame) -> DataFrame:
@@ -212,40 +300,121 @@ def _by_size(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _code_rows(sets: DataFrame) -> DataFrame:
-    """sid, n, codes (the upper halves of the elements, equal where the elements are) and lost (elements that share a code with another)."""
+def _members(docs: DataFrame, total: int) -> DataFrame:
+    """sid, n, label, blocks: the labels under which each set is compared, and in how many blocks their sets are dealt."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(partitions, -(-total // RANGE))
+    asked = F.lit([int(s) for s in shares(np.arange(len(LOWS)))])
+    for salt in range(8):
+        buckets = _labelled(_packed(docs, ranges, salt).repartitionById(ranges, F.pmod("range", F.lit(ranges)).cast("int")), MOST)
+        counted = buckets.repartition(partitions, "sid").groupBy("sid", "n", "instance", "label").agg(F.sum("times").alias("times"))
+        own = Window.partitionBy("sid", "n", "instance")
+        counted = counted.withColumn("all", F.sum("times").over(own)).withColumn("least", F.sum("times").over(own.orderBy("times", "label")))
+        counted = counted.withColumn("s", F.element_at(asked, F.col("instance") + 1))
+        kept = counted.where("sid is null or (all >= s and least > floor((s - 1) / 2))").select("sid", "n", "label").distinct()
+        kept = runtime.written(kept, "labels")
+        if not kept.where("sid is null").take(1):
+            break
+        runtime.drop(kept)
+    else:
+        raise RuntimeError("no partition of the domain suits all sets")
+    size = kept.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).where("sets > 1")
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    size = runtime.written(size.select("label", blocks.alias("blocks")), "sizes")
+    members = runtime.written(kept.join(_by_size(size), "label").select("sid", "n", "label", "blocks"), "members")
+    runtime.drop(kept, size)
+    return members
+
+
+def _elements(docs: DataFrame) -> DataFrame:
+    """sid, elements (their upper 48 bits, 6 bytes each) of the sets of some rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            keys, n = _elements(batch.column(1))
-            codes = (keys >> U64(32)).astype(np.uint32)
-            rows = np.repeat(np.arange(len(n)), n)  # elements ascend, so equal codes are neighbours
-            same = np.append(False, (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1]))[: len(codes)]
-            lost = np.bincount(rows, same, len(n)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(codes.view(np.int32))), pa.array(lost)], ["sid", "codes", "lost"])
+            for _, _, keys, n, sid in _parsed(batch.column(0)):
+                new = _new(sid, n, seen)
+                size, took = n[new], keys[np.repeat(new, n)] >> U64(16)
+                data = np.ascontiguousarray(took.view(np.uint8).reshape(-1, 8)[:, :6])
+                offsets = np.append(0, np.cumsum(6 * size)).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[new].view(np.int64), pa.int64()), binary], ["sid", "elements"])
+
+    return docs.select("text").mapInArrow(run, "sid long, elements binary")
 
-    return sets.select("sid", "elements").mapInArrow(run, "sid long, codes array<int>, lost int")
 
+def linked_pairs(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The matrix of which sets (distinct elements one set after another, sizes) are similar enough; its diagonal means nothing."""
+    rows = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])
+    column = np.cumsum(new) - 1
+    common = np.bincount(column)[column] > 1
+    rows, column = rows[order][common], column[common]
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])[: len(column)]) - 1 if len(column) else column
+    shared = np.zeros((len(n), len(n)), np.float32)  # whole numbers up to 2^24
+    last = int(column[-1]) + 1 if len(column) else 0
+    for k in range(0, last, COLUMNS):
+        a, b = np.searchsorted(column, (k, k + COLUMNS))
+        there = np.zeros((len(n), min(COLUMNS, last - k)), np.float32)
+        there[rows[a:b], column[a:b] - k] = 1
+        shared += there @ there.T
+    out = np.zeros(shared.shape, bool)
+    for k in range(0, len(n), 256):
+        both = shared[k : k + 256].astype(np.int64)
+        out[k : k + 256] = DEN * both >= NUM * (n[k : k + 256, None] + n[None, :] - both)
+    return out
 
-def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs that linked() may accept, by half of each element's bits: half the data to bring together."""
-    pairs = runtime.written(pairs, "pairs")
-    codes = _code_rows(sets)
-    two = codes.select(F.col("sid").alias("b"), F.col("codes").alias("y")).join(_by_size(pairs), "b")
-    one = codes.select(F.col("sid").alias("a"), F.col("codes").alias("x"), "lost").join(_by_size(pairs.select("a").distinct()), "a", "left_semi")
-    both = F.size(F.array_intersect("x", "y")) + F.col("lost")  # at least what the sets share
-    found = two.join(one, "a").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return found.where(DEN * F.col("both") >= NUM * (F.col("sum") - F.col("both"))).select("a", "b")
 
+def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a symmetric matrix: the first node of each component, with each other node of it."""
+    left = np.ones(len(links), bool)
+    roots, nodes = [], []
+    for first in range(len(links)):
+        if not left[first]:
+            continue
+        left[first] = False
+        front = np.array([first])
+        while len(front):
+            front = np.flatnonzero(links[front].any(0) & left)
+            left[front] = False
+            roots.append(np.full(len(front), first))
+            nodes.append(front)
+    return np.concatenate([np.zeros(0, np.int64), *roots]), np.concatenate([np.zeros(0, np.int64), *nodes])
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs a, b whose sets are similar enough, exactly."""
-    pairs = runtime.written(pairs, "pairs")
-    two = sets.select(F.col("sid").alias("b"), F.col("elements").alias("y")).join(_by_size(pairs), "b")
-    one = sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")).join(_by_size(pairs.select("a").distinct()), "a", "left_semi")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = two.join(one, "a").select("a", "b", shared.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return found.where(DEN * F.col("both") >= NUM * (F.col("sum") - F.col("both"))).select("a", "b")
+
+def _verified(members: DataFrame, elements: DataFrame, partitions: int) -> DataFrame:
+    """a, b: a spanning forest of the links among the sets of one label, i and j, for members of sid, label, i, j."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(group: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+            group = sorted(dict(group).items())
+            sid, n = np.array([g[0] for g in group]), np.array([len(g[1]) // 6 for g in group])
+            data = np.zeros((n.sum(), 8), np.uint8)
+            data[:, :6] = np.frombuffer(b"".join(g[1] for g in group), np.uint8).reshape(-1, 6)
+            a, b = forest(linked_pairs(data.view(U64).ravel(), n))
+            return sid[a], sid[b]
+
+        key, group, found = None, [], []
+        for batch in batches:
+            for sid, label, i, j, binary in zip(*(c.to_pylist() for c in batch.columns)):
+                if (label, i, j) != key:
+                    if len(group) > 1:
+                        found.append(links(group))
+                    key, group = (label, i, j), []
+                group.append((sid, binary))
+            if len(found) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (0, 1)], ["a", "b"])
+                found = []
+        if len(group) > 1:
+            found.append(links(group))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    rows = members.join(elements, "sid").select("sid", "label", "i", "j", "elements")
+    return rows.repartition(partitions, "label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def _roots(parents: DataFrame, what: str) -> DataFrame:
@@ -304,64 +473,25 @@ def contracted(edges: DataFrame, what: str = "edges") -> DataFrame:
     return whole if whole is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _joined(trees: DataFrame, links: DataFrame) -> DataFrame:
-    """trees (sid, tree) after joining those that the links a, b between sets connect."""
-    at = lambda column: trees.select(F.col("sid").alias(column), F.col("tree").alias(f"{column}_tree"))
-    tops = contracted(links.join(_by_size(at("a")), "a").join(_by_size(at("b")), "b").select(F.col("a_tree").alias("a"), F.col("b_tree").alias("b")))
-    return runtime.written(trees.join(_by_size(tops.withColumnRenamed("node", "tree")), "tree", "left").select("sid", F.coalesce("root", "tree").alias("tree")), "trees")
+def _trees(links: DataFrame) -> DataFrame:
+    """sid, tree of the sets that aren't the root of their tree."""
+    return contracted(links).select(F.col("node").alias("sid"), F.col("root").alias("tree"))
 
 
-def _cross_pairs(rows: DataFrame, partitions: int) -> DataFrame:
-    """Distinct pairs a < b of sets of one bucket and different trees that the sketches don't exclude.
-
-    rows: sig, i, j, own, sid, tree, n, sketch, where own is the set's block, i or j.
-    """
-
-    def pairs(group: np.ndarray, own: np.ndarray, diagonal: np.ndarray, sid: np.ndarray, tree: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right, d = [], [], 1
-        while d < len(group):
-            at = np.flatnonzero(group[:-d] == group[d:])
-            if not len(at):
-                break
-            to = at + d
-            ok = (tree[at] != tree[to]) & (diagonal[at] | (own[at] != own[to])) & (DEN * np.minimum(n[at], n[to]) >= NUM * np.maximum(n[at], n[to]))
-            at, to = at[ok], to[ok]
-            for k in range(0, len(at), 20_000):
-                x, y = at[k : k + 20_000], to[k : k + 20_000]
-                near = differing(sketch[x], sketch[y], n[x], n[y]) * 7 <= n[x] + n[y]
-                left.append(x[near])
-                right.append(y[near])
-            d += 1
-        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
-        return np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                if held.num_rows < 4 * BLOCK:
-                    continue
-            if held is None or not held.num_rows:
-                continue
-            sig, i, j, own, sid, tree, n = (np.asarray(held.column(c)) for c in ("sig", "i", "j", "own", "sid", "tree", "n"))
-            sketch = np.frombuffer(b"".join(held.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS)
-            new = np.append(True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-            group = np.cumsum(new)
-            done = len(group) if batch is None else int(np.flatnonzero(new)[-1])  # the last group may go on
-            if done:
-                a, b = pairs(group[:done], own[:done], (i == j)[:done], sid[:done], tree[:done], n[:done], sketch[:done])
-                both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-            held = held.slice(done)
-
-    dealt = rows.repartition(partitions, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+def _visits(members: DataFrame, trees: DataFrame) -> DataFrame:
+    """sid, label, i, j for the labels of several blocks: each block i of all sets with each block j of those outside the
+    label's commonest tree."""
+    large = members.where("blocks > 1").join(_by_size(trees), "sid", "left")
+    large = large.select("sid", "label", "blocks", F.coalesce("tree", "sid").alias("tree"))
+    trees = large.groupBy("label", "tree").agg(F.count("*").alias("sets"))
+    common = trees.groupBy("label").agg(F.max_by("tree", F.struct("sets", "tree")).alias("common"), (F.sum("sets") - F.max("sets")).alias("others"))
+    common = runtime.written(common.where("others > 0").select("label", "common", F.ceil(F.col("others") / BLOCK).cast("int").alias("turns")), "common")
+    large = large.join(_by_size(common), "label")
+    host, visitor = F.pmod(F.xxhash64("sid"), F.col("blocks")), F.pmod(F.xxhash64("sid", F.lit(1)), F.col("turns"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hosts = large.select("sid", "label", host.cast("int").alias("i"), upto("turns").alias("j"))
+    visitors = large.where("tree <> common").select("sid", "label", upto("blocks").alias("i"), visitor.cast("int").alias("j"))
+    return hosts.unionByName(visitors).distinct()
 
 
 def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -371,64 +501,36 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 def _placed(df: DataFrame, text: str, key: str) -> DataFrame:
     spark = df.sparkSession
-    runtime.small_batches(spark)
+    runtime.prepare(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(df[key].alias("doc_id"), F.xxhash64(df[key], df[text]).alias("rid"), runtime.utf8(df[text]).alias("text"))
-    docs = runtime.written(_sets(source, full=False), "sets")
-
-    # 1. Screening on prefixes.
-    prefix = docs.where(F.size("elements") > 0).select(F.explode("elements").alias("element"), "sid", "n")
-    common = runtime.written(prefix.groupBy("element").agg(F.count("*").alias("times")).where("times > 1").select("element"), "common")
-    least_shared = F.greatest(F.lit(1), F.floor(F.lit(NUM) * F.floor(F.col("n") / EXTRA) / DEN))
-    left = prefix.join(_by_size(common), "element", "left_semi").groupBy("sid", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
-    classes = docs.where("sid is not null").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    docs = runtime.written(_sets(source), "sets")
+    classes = docs.where("sid is not null").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
     classes = runtime.written(classes, "classes")
-    wanted = runtime.written(left.select("sid").join(classes, "sid").select("rid"), "wanted")
-    sets = runtime.written(_sets(source.join(_by_size(wanted), "rid", "left_semi"), full=True).select("sid", "n", "elements"), "elements")
-
-    # 2. Signatures and pivots.
-    signed = _signature_rows(sets)
-    shared = runtime.written(signed.where("sig is not null").groupBy("sig").agg(F.count("*").alias("members")).where("members > 1").select("sig"), "shared")
-    held = runtime.written(signed.join(_by_size(shared), "sig"), "buckets")
-    trees = runtime.written(held.select("sid").distinct().select("sid", F.col("sid").alias("tree")), "trees")
-    for turn in range(PIVOTS):
-        placed = held.join(_by_size(trees), "sid")
-        chosen = F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "tree"))
-        apart = placed.groupBy("sig").agg(chosen.alias("pivot"), F.min("tree").alias("low"), F.max("tree").alias("high")).where("low < high")
-        apart = runtime.written(apart.select("sig", F.col("pivot.sid").alias("pivot"), F.col("pivot.tree").alias("pivot_tree")), "apart")
-        open_ = runtime.written(placed.join(_by_size(apart), "sig"), "buckets")
-        held = open_.select("sig", "sid")
-        if not held.take(1):
-            break
-        shared = open_.where("tree <> pivot_tree").groupBy("sid", "pivot").agg(F.count("*").alias("times"))
-        nearest = shared.groupBy("sid").agg(F.max(F.struct("times", "pivot")).alias("of")).select("sid", F.col("of.pivot").alias("pivot"))
-        links = linked(nearest.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct(), sets)
-        trees = _joined(trees, links)
-
-    # 3. Buckets with several trees, in blocks; sets with too few parts.
-    rows = held.join(_by_size(trees), "sid").select("sig", "sid", "tree")
-    mixed = rows.groupBy("sig").agg(F.min("tree").alias("low"), F.max("tree").alias("high"), F.count("*").alias("members")).where("low < high")
-    mixed = runtime.written(mixed.select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
-    open_ = rows.join(_by_size(mixed), "sig").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "tree")
-    crossed = _cross_pairs(open_.join(_sketch_rows(sets), "sid"), partitions)
-    few = signed.where("sig is null").select("sid").distinct().join(sets, "sid")
-    few = few.select(F.col("sid").alias("a"), F.explode(F.slice("elements", 1, (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))).alias("element"))
-    few = runtime.written(few.join(_by_size(common), "element", "left_semi"), "few")
-    others = prefix.join(_by_size(few), "element").where("a <> sid")
-    short = others.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct()
-    extra = runtime.written(linked(likely(crossed.unionByName(short).distinct(), sets), sets), "links")
-
-    # 4. Components of trees, then of documents.
-    ends = extra.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(trees.select("sid"), "sid", "left_anti")
-    trees = runtime.written(trees.unionByName(ends.select("sid", F.col("sid").alias("tree"))).coalesce(partitions), "trees")
-    trees = _joined(trees, extra)
-    named = classes.join(trees, "sid", "left").where("copies > 1 or tree is not null").select("sid", "least", F.coalesce("tree", "sid").alias("root"))
-    named = runtime.written(named, "named")
+
+    members = _members(source, classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    wanted = runtime.written(members.select("sid").distinct().join(classes, "sid").select("rid"), "wanted")
+    elements = runtime.written(_elements(source.join(_by_size(wanted), "rid", "left_semi")).dropDuplicates(["sid"]), "elements")
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("i")
+    links = runtime.written(_verified(members.select("sid", "label", own, F.lit(-1).alias("j")), elements, partitions), "links")
+    trees = _trees(links)
+    if members.where("blocks > 1").take(1):
+        more = runtime.written(_verified(_visits(members, trees), elements, partitions), "links")
+        trees = _trees(links.unionByName(more))
+        runtime.drop(more)
+    runtime.drop(wanted, elements, members, links)
+
+    # Sets in a tree or with copies, by the root of their tree, and the smallest key of each tree.
+    roots = trees.select(F.col("tree").alias("sid")).distinct().withColumn("tree", F.col("sid"))
+    placed = runtime.written(trees.unionByName(roots), "trees")
+    named = classes.join(_by_size(placed), "sid", "left").where("copies > 1 or tree is not null")
+    named = runtime.written(named.select("sid", "least", F.coalesce("tree", "sid").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = runtime.written(named.join(least, "root").groupBy("sid").agg(F.min("component_id").alias("component_id"), F.min("root").alias("root")), "named")
-    out = docs.select("doc_id", "rid", "n", "sid").join(_by_size(named), "sid", "left")
+    final = runtime.written(named.join(least, "root").select("sid", "component_id", "root"), "named")
+    runtime.drop(placed, named, classes)
+    told = docs.where("sid is not null").join(_by_size(final), "sid", "left").select("doc_id", "rid", "n", "component_id", "root")
+    blank = docs.where("sid is null").select("doc_id", "rid", "n", F.col("doc_id").alias("component_id"), F.col("sid").alias("root"))
+    out = told.unionByName(blank)
     return out.select("rid", F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,18 +36,30 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def prepare(spark: SparkSession) -> None:
+    """small_batches(), and the shuffle files of a finished query are deleted at once instead of when the driver collects
+    its garbage: an operator of several steps would otherwise hold the files of all of them."""
+    small_batches(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: later stages and lost executors don't compute them again."""
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: the shuffle files of finished steps stay on the executors' disks until it does."""
-    spark.sparkContext._jvm.System.gc()
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing needs any more; others are left alone."""
+    for path in filter(None, (getattr(t, "written_at", None) for t in tables)):
+        system, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        with contextlib.suppress(FileNotFoundError):
+            system.delete_dir(where)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -67,18 +67,94 @@ def test_empty(spark):
     assert partenum.components(df).count() == 0
 
 
-def test_linked_sets_share_a_signature():
-    rng = np.random.default_rng(5)
-    for size in [3, 8, 20, 50, 130, 400, 900]:
+def similar_pairs(sizes, rng):
+    for size in sizes:
         for _ in range(20):
             base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
             drop = rng.integers(0, size // 4 + 1)
             one, two = np.unique(base), np.unique(np.append(base[drop:], rng.integers(0, 1 << 63, rng.integers(0, max(1, size // 4 - drop + 1)), dtype=np.uint64)))
             both = len(np.intersect1d(one, two))
-            if 100 * both < 75 * (len(one) + len(two) - both):
-                continue
-            sig, owner, few = partenum.signatures(np.concatenate([one, two]), np.array([len(one), len(two)]))
-            assert few.any() or set(sig[owner == 0]) & set(sig[owner == 1])
+            if 100 * both >= 75 * (len(one) + len(two) - both):
+                yield one, two
+
+
+def test_linked_sets_share_signatures():
+    for one, two in similar_pairs([1, 2, 3, 8, 20, 50, 87, 88, 120, 156, 157, 160, 279, 280, 400, 900, 5000], np.random.default_rng(5)):
+        sig, owner, step, few = partenum.signatures(np.concatenate([one, two]), np.array([len(one), len(two)]))
+        assert not few.any()
+        band = np.searchsorted(partenum.LOWS, [len(one), len(two)], "right") - 1
+        asked = partenum.shares(band.max())
+        assert len(set(sig[owner == 0]) & set(sig[owner == 1])) >= asked
+        instance = max(band)
+        for i in (0, 1):
+            assert asked <= len(set(sig[(owner == i) & (band[owner] + step == instance)]))
+
+
+def test_signatures_are_subsets_of_pieces():
+    keys = np.unique(np.random.default_rng(8).integers(0, 1 << 63, 400, dtype=np.uint64))
+    sig, _, _, _ = partenum.signatures(keys, np.array([len(keys)]))
+    assert len(np.unique(sig)) == len(sig) and len(sig) < 1.6 * len(keys)
+
+
+def test_too_few_pieces_are_told():
+    keys = np.unique(np.random.default_rng(9).integers(0, 1 << 63, 40_000, dtype=np.uint64))
+    cells = partenum.textkit.mix(keys + np.uint64(0x2545F4914F6CDD1D)) % np.uint64(3 * (int(partenum.HIGHS[8] / partenum.CONTENT) + 2))
+    crowded = keys[cells < 30][:200]  # all in ten parts
+    assert len(crowded) == 200 and partenum.LOWS[8] <= 200 <= partenum.HIGHS[8]
+    assert partenum.signatures(crowded, np.array([200]))[3].all()
+    assert not partenum.signatures(crowded, np.array([200]), 1)[3].any()
+
+
+def test_pairs_and_forests():
+    rng = np.random.default_rng(6)
+    sets = [s for pair in similar_pairs([5, 40, 300], rng) for s in pair]
+    got = partenum.linked_pairs(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            assert i == j or got[i, j] == (100 * both >= 75 * (len(x) + len(y) - both))
+    links = np.eye(7, dtype=bool)
+    for i, j in ((0, 3), (3, 5), (2, 6)):
+        links[i, j] = links[j, i] = True
+    assert sorted(zip(*map(list, partenum.forest(links)))) == [(0, 3), (0, 5), (2, 6)]
+
+
+@pytest.mark.parametrize("what", [{"BLOCK": 8}, {"BLOCK_ELEMENTS": 500}, {"MOST": 20, "RANGE": 50}, {"PACK": 300, "RANGE": 500, "COLUMNS": 16}, {"BROADCAST_ROWS": 0}])
+def test_a_large_group_in_blocks(spark, monkeypatch, what):
+    """Near copies whose links are few, copies, a passage that many share, blocks, streams and shuffles in place of broadcasts."""
+    for name, value in what.items():
+        monkeypatch.setattr(partenum, name, value)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(2000)]
+    base, passage = rng.sample(words, 60), rng.sample(words, 40)
+    rows = []
+    for _ in range(90):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            own[rng.randrange(60)] = rng.choice(words)
+        rows.append(" ".join(own))
+    rows += [" ".join(base)] * 40 + [" ".join(passage + rng.sample(words, rng.randint(5, 60))) for _ in range(60)]
+    rows += [" ".join(base[k:]) for k in range(0, 40, 3)]
+    rng.shuffle(rows)
+    rows = [(i, t) for i, t in enumerate(rows)]
+    got = sorted((tuple(r) for r in partenum.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_long_texts(spark):
+    """Texts beyond one chunk and sets of many thousand elements, in the bands of large sets."""
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(50_000)]
+    base = rng.choices(words, k=160_000)  # 1.4 MB
+    near, far = list(base), list(base)
+    for i in rng.sample(range(len(base)), 3000):
+        near[i] = "x"
+    for i in rng.sample(range(len(base)), 16_000):
+        far[i] = "y"
+    middle = rng.choices(words, k=4000)
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(middle)), (5, " ".join(middle[:3300])), (6, " ".join(middle[:2800]))]
+    got = sorted(tuple(r) for r in partenum.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
 
 
 @pytest.mark.parametrize("one_task", [0, partenum.ONE_TASK])
@@ -89,20 +165,6 @@ def test_components_of_a_long_path(spark, monkeypatch, one_task):
     assert {k: got.get(k, k) for k in [*range(61), 100, 150, 200]} == {**{k: 0 for k in range(61)}, 100: 100, 150: 100, 200: 100}
 
 
-def test_sketches_bound_the_difference():
-    rng = np.random.default_rng(6)
-    sets = []
-    for n in (1, 7, 60, 1499, 1500, 1501, 4000):
-        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        sets += [np.unique(base), np.unique(np.append(base[n // 10 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)))]
-    sizes = np.array([len(x) for x in sets])
-    sketch = partenum.sketches(np.concatenate(sets), sizes)
-    for i in range(len(sets)):
-        for j in range(len(sets)):
-            least = partenum.differing(sketch[[i]], sketch[[j]], sizes[[i]], sizes[[j]])[0]
-            assert least <= len(np.setxor1d(sets[i], sets[j])) and (i != j or least == 0)
-
-
 def test_one_representative_of_each_component(spark):
     words = [f"w{i}" for i in range(300)]
     near = lambda a, i: " ".join(words[a : a + 40] + [f"x{i}"])

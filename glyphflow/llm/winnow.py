@@ -1,12 +1,15 @@
 """Benchmark decontamination by winnowing, in DataFrame functions alone.
 
 A text's fingerprints are the minimum hash of K-word grams in each window of K such grams, so any shared span of
-SPAN = 2 K - 1 words has a fingerprint in common at the same place.  Fingerprints of documents and of benchmark items
-are joined; each hit gives a diagonal (document position less item position), along which the item's windows of SPAN
-words are compared with the document's words, exactly.  An item shorter than SPAN is one window and its own fingerprint.
+SPAN = 2 K - 1 words has a fingerprint in common.  Fingerprints of documents and of benchmark items are joined, which
+leaves few documents.  In these each gram that is a fingerprint of an item gives a diagonal (document position less item
+position), along which the item's windows of SPAN words are compared with the document's words, exactly.  An item shorter
+than SPAN is one window and its own fingerprint.
 
-The benchmark's fingerprints are broadcast if they are at most BROADCAST_ROWS, else joined by a shuffle that the adaptive
-planner splits.  Only documents with a hit are joined with the words of the items.
+Grams hash the hashes of their words, so each word is read once; words are counted and cut in the text's own case, and
+only words beyond ASCII are lower-cased letter by letter.  Fingerprints, diagonals and windows are rows of their own:
+nothing is gathered but the ids of a document's items.  The benchmark's tables are broadcast if they have at most
+BROADCAST_ROWS rows, else joined by a shuffle that the adaptive planner splits.
 
 Defined cases: null and wordless texts have no words and no hits, and wordless items no windows; equal rows get equal
 rows; items with one id are one item; an item without an id marks words but isn't counted; other columns are not read.
@@ -16,13 +19,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphflow.llm import runtime
 
 SPAN, K = 13, 7
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words as of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ in a text in lower case, for any case; Java's matcher needs a
+#: twentieth of the time for the class that isn't negated.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of at most about 40 bytes that may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -33,10 +38,14 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def lowered(word: Column) -> Column:
+    """A word with A-Z in lower case."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
 def words_of(text: Column) -> Column:
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    lower = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    """The words of a text, in its own case."""
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def upto(last: Column) -> Column:
@@ -44,9 +53,14 @@ def upto(last: Column) -> Column:
     return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
 
-def grams(words: Column, size: Column) -> Column:
-    """The hash of each gram of that many words."""
-    return F.transform(upto(F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size), size))
+def hashed(words: Column) -> Column:
+    """The hash of each word in lower case."""
+    return F.transform(words, lambda w: F.xxhash64(lowered(w)))
+
+
+def grams(hashes: Column, size: Column) -> Column:
+    """The hash of each gram of that many words, by the hashes of the words."""
+    return F.transform(upto(F.size(hashes) - size + 1), lambda i: F.xxhash64(F.slice(hashes, i, size), size))
 
 
 def minima(hashes: Column) -> Column:
@@ -59,35 +73,39 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _items(benchmark: DataFrame, text: str, key: str) -> DataFrame:
-    """item, item_id, words, size (of a gram) of each item with words."""
-    rows = benchmark.select(benchmark[key].cast("string").alias("item_id"), words_of(benchmark[text]).alias("words")).distinct()
+    """item, item_id, words, size (of a gram) and span (of a window) of each item with words."""
+    words = F.transform(words_of(benchmark[text]), lowered)
+    rows = benchmark.select(benchmark[key].cast("string").alias("item_id"), words.alias("words")).distinct()
     size = F.when(F.size("words") >= SPAN, K).otherwise(F.size("words"))
-    return rows.where(F.size("words") > 0).select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", size.alias("size"))
+    return rows.where(F.size("words") > 0).select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", size.alias("size"), F.least(F.size("words"), F.lit(SPAN)).alias("span"))
 
 
 def _fingerprints(items: DataFrame) -> DataFrame:
     """hash, item, at: where an item's fingerprints are, from 1."""
-    hashed = items.select("item", F.size("words").alias("n"), grams(F.col("words"), F.col("size")).alias("hashes"))
-    everywhere = hashed.select("item", F.posexplode("hashes").alias("at", "hash")).select("item", (F.col("at") + 1).alias("at"), "hash")
-    chosen = hashed.select("item", F.explode(F.when(F.col("n") >= SPAN, minima(F.col("hashes"))).otherwise(F.col("hashes"))).alias("hash"))
+    rows = items.select("item", F.size("words").alias("n"), let(hashed(F.col("words")), lambda h: grams(h, F.col("size"))).alias("hashes"))
+    everywhere = rows.select("item", F.posexplode("hashes").alias("at", "hash")).select("item", (F.col("at") + 1).alias("at"), "hash")
+    chosen = rows.select("item", F.explode(F.when(F.col("n") >= SPAN, minima(F.col("hashes"))).otherwise(F.col("hashes"))).alias("hash"))
     return everywhere.join(chosen, ["item", "hash"], "left_semi")
 
 
-def _hits(words: Column, candidates: Column) -> Column:
-    """For each candidate its item_id and the positions, from 1, of the document's words inside its windows."""
+def _windows(docs: DataFrame, items: DataFrame, prints: DataFrame, short: list[int]) -> DataFrame:
+    """rid, item_id, first, span: where, from 1, a document holds a window of an item.  A row may come more than once."""
+    chosen = let(hashed(words_of(F.col("text"))), lambda h: F.concat(let(grams(h, F.lit(K)), minima), *(F.array_distinct(grams(h, F.lit(m))) for m in short)))
+    found = docs.select("rid", F.explode(chosen).alias("hash")).join(_small(prints.select("hash").distinct()), "hash", "left_semi")
+    hit = runtime.written(found.select("rid").distinct(), "hit")
+    texts = docs.join(_small(hit), "rid", "left_semi").select("rid", F.transform(words_of(F.col("text")), lowered).alias("words"))
+    texts = runtime.written(texts.dropDuplicates(["rid"]), "texts")
 
-    def on_diagonal(shift: Column, item: Column, span: Column) -> Column:
-        same = F.filter(upto(F.size(item) - span + 1), lambda s: (s + shift >= 1) & (F.slice(words, F.greatest(s + shift, F.lit(1)), span) == F.slice(item, s, span)))
-        return F.flatten(F.transform(same, lambda s: F.sequence(s + shift, s + shift + span - 1)))
-
-    def of(candidate: Column, hashes: Column) -> Column:
-        own = F.when(candidate["size"] == K, hashes).otherwise(grams(words, candidate["size"]))
-        shifts = let(own, lambda h: F.array_distinct(F.flatten(F.transform(candidate["prints"], lambda p: F.transform(F.filter(upto(F.size(h)), lambda i: F.element_at(h, i) == p["hash"]), lambda i: i - p["at"])))))
-        item = F.transform(candidate["words"], lambda x: F.concat(x))
-        found = let(item, lambda it: F.array_distinct(F.flatten(F.transform(shifts, lambda d: on_diagonal(d, it, F.least(F.size(it), F.lit(SPAN)))))))
-        return F.struct(candidate["item_id"].alias("item_id"), found.alias("positions"))
-
-    return let(grams(words, F.lit(K)), lambda h: F.transform(candidates, lambda c: of(c, h)))
+    own = let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.array(*(grams(h, F.lit(m)) for m in [K, *short])))
+    placed = texts.select("rid", F.explode(own).alias("hashes")).select("rid", F.posexplode("hashes").alias("place", "hash"))
+    shifts = placed.join(_small(prints), "hash").select("rid", "item", (F.col("place") + 1 - F.col("at")).alias("shift")).distinct()
+    shifts = runtime.written(shifts, "shifts")
+    pairs = texts.join(_small(shifts), "rid").join(_small(items.withColumnRenamed("words", "item_words")), "item")
+    starts = F.filter(
+        upto(F.size("item_words") - F.col("span") + 1),
+        lambda s: (s + F.col("shift") >= 1) & (F.slice("words", F.greatest(s + F.col("shift"), F.lit(1)), F.col("span")) == F.slice("item_words", s, F.col("span"))),
+    )
+    return runtime.written(pairs.select("rid", "item_id", "shift", "span", F.explode(starts).alias("start")).select("rid", "item_id", (F.col("start") + F.col("shift")).alias("first"), "span"), "windows")
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -95,28 +113,30 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
     docs = df.select(df[key].alias("doc_id"), F.xxhash64(df[key], df[text]).alias("rid"), df[text].cast("string").alias("text"))
     items = runtime.written(_items(benchmark, item_text, item_key), "items")
     prints = runtime.written(_fingerprints(items), "prints")
-    short = [r[0] for r in items.where(F.size("words") < SPAN).select("size").distinct().orderBy("size").limit(SPAN).collect()]
-
-    chosen = let(words_of(F.col("text")), lambda w: F.concat(let(grams(w, F.lit(K)), minima), *(F.array_distinct(grams(w, F.lit(m))) for m in short)))
-    found = docs.select("rid", F.explode(chosen).alias("hash")).join(_small(prints), "hash")
-    by_item = found.groupBy("rid", "item").agg(F.collect_set(F.struct("hash", "at")).alias("prints"))
-    with_words = by_item.join(_small(items), "item").select("rid", F.struct("item_id", "words", "size", "prints").alias("candidate"))
-    candidates = runtime.written(with_words.groupBy("rid").agg(F.collect_list("candidate").alias("candidates")), "candidates")
-
-    hit = _small(candidates.select("rid"))
-    told = docs.join(hit, "rid", "left_semi").join(candidates, "rid")
-    told = told.select("rid", "doc_id", let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), _hits(w, F.col("candidates")).alias("hits"))).alias("got"))
-    told = told.select("rid", "doc_id", F.col("got.n").alias("n"), F.filter("got.hits", lambda h: F.size(h["positions"]) > 0).alias("hits"))
-    ids = F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", lambda h: h["item_id"]))))
-    told = told.select("rid", "doc_id", F.col("n").cast("long").alias("n_words"), F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["positions"])))).cast("long").alias("n_hit"), ids.alias("ids"))
-    rest = docs.join(hit, "rid", "left_anti").select("rid", "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("ids"))
+    short = [r[0] for r in items.where(F.col("span") < SPAN).select("size").distinct().orderBy("size").limit(SPAN).collect()]
+    windows = _windows(docs, items, prints, short)
+
+    # Words covered: each window adds what lies beyond the ends of all windows that start before it.
+    last = F.col("first") + F.col("span") - 1
+    places = windows.groupBy("rid", "first").agg(F.max(last).alias("last"))
+    before = F.max("last").over(Window.partitionBy("rid").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    covered = places.select("rid", (F.col("last") - F.greatest(F.col("first") - 1, F.least("last", F.coalesce(before, F.lit(0))))).alias("more"))
+    covered = covered.groupBy("rid").agg(F.sum("more").alias("n_hit"))
+    ids = windows.groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    told = runtime.written(covered.join(ids, "rid").select("rid", F.col("n_hit").cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids")), "told")
+    out = docs.select("rid", "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")).join(_small(told), "rid", "left")
+    out = out.select("rid", "doc_id", "n_words", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_hit", "n_items")), F.coalesce("ids", F.lit("")).alias("ids"))
     contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return told.unionByName(rest).select("rid", F.col("doc_id").alias(key), "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"))
+    return out.select("rid", F.col("doc_id").alias(key), "n_words", "n_hit", "n_items", F.sha2("ids", 256).alias("items_sha256"), contaminated.alias("contaminated"))
+
 
+def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", most: int = SPAN - 1) -> DataFrame:
+    """The rows of df, with all their columns, that aren't contaminated and have at most that many words hit.
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of df that aren't contaminated, with all their columns."""
-    bad = runtime.written(contamination(df, benchmark, text, key).where("contaminated").select("rid").distinct(), "contaminated")
+    By default a whole window of SPAN words is too much in a text of any length, while a shorter item has to make up its
+    share of the text.
+    """
+    bad = runtime.written(contamination(df, benchmark, text, key).where(F.col("contaminated") | (F.col("n_hit") > most)).select("rid").distinct(), "contaminated")
     return df.withColumn("__rid", F.xxhash64(df[key], df[text])).join(_small(bad.withColumnRenamed("rid", "__rid")), "__rid", "left_anti").drop("__rid")
 
 

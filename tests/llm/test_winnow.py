@@ -57,7 +57,8 @@ def test_against_brute_force(spark, short):
     assert got == brute(docs, items)
     kept = winnow.decontaminated(df, bench)
     assert kept.columns == df.columns
-    assert sorted((str(r.doc_id) for r in kept.collect())) == sorted(str(x[0]) for x in brute(docs, items) if not x[5])
+    assert sorted((str(r.doc_id) for r in kept.collect())) == sorted(str(x[0]) for x in brute(docs, items) if not x[5] and x[2] < 13)
+    assert sorted((str(r.doc_id) for r in winnow.decontaminated(df, bench, most=1 << 30).collect())) == sorted(str(x[0]) for x in brute(docs, items) if not x[5])
 
 
 def test_empty_tables(spark):
@@ -65,3 +66,18 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:4] for r in winnow.contamination(docs, bench).drop("rid").collect()] == [(3, 0, 0)]
     assert winnow.contamination(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [0, winnow.BROADCAST_ROWS])
+def test_a_common_passage_and_a_long_text(spark, monkeypatch, broadcast):
+    """A third of the documents hold one passage, which every item holds, too; one text has 40,000 words."""
+    monkeypatch.setattr(winnow, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(5000)]
+    passage = " ".join(rng.sample(pool, 15))
+    items = [(i, " ".join(rng.sample(pool, 10)) + " " + passage + " " + " ".join(rng.sample(pool, 10))) for i in range(20)]
+    docs = [(d, " ".join(rng.sample(pool, 30)) + (" " + passage if d % 3 == 0 else "")) for d in range(90)]
+    docs.append((1000, " ".join(rng.choices(pool, k=20_000)) + " " + items[4][1] + " " + " ".join(rng.choices(pool, k=20_000)) + " " + passage))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((tuple(r) for r in winnow.contamination(df, bench).drop("rid").collect()), key=str) == brute(docs, items)

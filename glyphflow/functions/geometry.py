@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row and not once for each use."""
+    return F.transform(F.array(value), then)[0]
+
+
 def quad(*corners: tuple[Column, Column]) -> Column:
     return F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners))
 
 
 def ordered(corners: Column) -> Column:
-    """Any four corners as a quad: the two leftmost, then the two rightmost, each by height."""
-    by_x = F.array_sort(F.transform(corners, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
-    by_y = lambda part: F.array_sort(F.transform(part, lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
-    left, right = by_y(F.slice(by_x, 1, 2)), by_y(F.slice(by_x, 3, 2))
-    return quad(*((p["x"], p["y"]) for p in (left[0], right[0], right[1], left[1])))
+    """Any four corners as a quad: the two leftmost, then the two rightmost, each by height; places within 1e-6 are level."""
+    by_x = F.array_sort(F.transform(corners, lambda p: F.struct(F.round(p["x"], 6).alias("level"), F.round(p["y"], 6).alias("rank"), p["x"].alias("x"), p["y"].alias("y"))))
+    by_y = lambda part: F.array_sort(F.transform(part, lambda p: F.struct(p["rank"].alias("rank"), p["x"].alias("x"), p["y"].alias("y"))))
+    sides = lambda s: F.array(by_y(F.slice(s, 1, 2)), by_y(F.slice(s, 3, 2)))
+    return let(let(by_x, sides), lambda s: quad(*((p["x"], p["y"]) for p in (s[0][0], s[1][0], s[1][1], s[0][1]))))
 
 
 def area(q: Column) -> Column:
-    turned = F.concat(F.slice(q, 2, 3), F.slice(q, 1, 1))
-    cross = F.zip_with(q, turned, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    turned = lambda q: F.concat(F.slice(q, 2, 3), F.slice(q, 1, 1))
+    cross = let(q, lambda q: F.zip_with(q, turned(q), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
 
 
@@ -45,12 +52,12 @@ def longest_height(q: Column) -> Column:
 
 
 def aspect(q: Column) -> Column:
-    return F.greatest(width(q), height(q)) / F.greatest(F.least(width(q), height(q)), F.lit(1e-6))
+    return let(q, lambda q: F.greatest(width(q), height(q)) / F.greatest(F.least(width(q), height(q)), F.lit(1e-6)))
 
 
 def centre(q: Column) -> Column:
-    mean = lambda c: F.aggregate(F.transform(q, lambda p: p[c]), F.lit(0.0), lambda s, v: s + v) / 4
-    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+    mean = lambda q, c: F.aggregate(F.transform(q, lambda p: p[c]), F.lit(0.0), lambda s, v: s + v) / 4
+    return let(q, lambda q: F.struct(mean(q, "x").alias("x"), mean(q, "y").alias("y")))
 
 
 def _unit(x: Column, y: Column) -> Column:
@@ -58,18 +65,28 @@ def _unit(x: Column, y: Column) -> Column:
     return F.struct((x / n).alias("x"), (y / n).alias("y"))
 
 
+def horizontal(q: Column) -> Column:
+    """The unit vector of the upper and lower edges together, from left to right."""
+    return _unit(q[1]["x"] - q[0]["x"] + q[2]["x"] - q[3]["x"], q[1]["y"] - q[0]["y"] + q[2]["y"] - q[3]["y"])
+
+
+def vertical(q: Column) -> Column:
+    """The unit vector of the left and right edges together, from the top down."""
+    return _unit(q[3]["x"] - q[0]["x"] + q[2]["x"] - q[1]["x"], q[3]["y"] - q[0]["y"] + q[2]["y"] - q[1]["y"])
+
+
 def along(q: Column) -> Column:
-    """The unit vector of the upper and lower edges, pointing right."""
-    x, y = q[1]["x"] - q[0]["x"] + q[2]["x"] - q[3]["x"], q[1]["y"] - q[0]["y"] + q[2]["y"] - q[3]["y"]
-    sign = F.when(x < 0, -1.0).otherwise(1.0)
-    return _unit(x * sign, y * sign)
+    """horizontal(), turned to point right."""
+    axis = horizontal(q)
+    sign = F.when(axis["x"] < 0, -1.0).otherwise(1.0)
+    return F.struct((axis["x"] * sign).alias("x"), (axis["y"] * sign).alias("y"))
 
 
 def down(q: Column) -> Column:
-    """The unit vector of the left and right edges, pointing down."""
-    x, y = q[3]["x"] - q[0]["x"] + q[2]["x"] - q[1]["x"], q[3]["y"] - q[0]["y"] + q[2]["y"] - q[1]["y"]
-    sign = F.when(y < 0, -1.0).otherwise(1.0)
-    return _unit(x * sign, y * sign)
+    """vertical(), turned to point down."""
+    axis = vertical(q)
+    sign = F.when(axis["y"] < 0, -1.0).otherwise(1.0)
+    return F.struct((axis["x"] * sign).alias("x"), (axis["y"] * sign).alias("y"))
 
 
 def corner_difference(a: Column, b: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphflow.functions import geometry as g
+from glyphflow.operators import pixels as pixel_rows
 
 
 def deduplicated(base: DataFrame, supplement: DataFrame, tolerance: float = 1e-3) -> DataFrame:
@@ -23,12 +24,12 @@ def deduplicated(base: DataFrame, supplement: DataFrame, tolerance: float = 1e-3
 
 
 def nearest(base: DataFrame, supplement: DataFrame) -> DataFrame:
-    """supplement with distance: of its centre to that of the nearest base box of its image, null without any."""
+    """supplement with distance: of its centre to that of the nearest base box of its image, infinity without any."""
     centre = lambda q: g.centre(q)
     other = base.select("image_id", centre(F.col("quad")).alias("c"))
     pairs = supplement.select("image_id", "slot", centre(F.col("quad")).alias("o")).join(other, "image_id")
     least = pairs.groupBy("image_id", "slot").agg(F.min(F.hypot(F.col("c.x") - F.col("o.x"), F.col("c.y") - F.col("o.y"))).alias("distance"))
-    return supplement.join(least, ["image_id", "slot"], "left")
+    return supplement.join(least, ["image_id", "slot"], "left").withColumn("distance", F.coalesce("distance", F.lit(float("inf"))))
 
 
 def merged(base: DataFrame, supplement: DataFrame, most: int = 64) -> DataFrame:
@@ -39,17 +40,29 @@ def merged(base: DataFrame, supplement: DataFrame, most: int = 64) -> DataFrame:
 
 
 def with_area_ratio(boxes: DataFrame) -> DataFrame:
-    """boxes with area and area_ratio, to the median area of the image's (at least 1e-6)."""
+    """boxes with area and area_ratio, to the median area of the image's boxes that aren't supplemental (1 without any, at least 1e-6)."""
     sized = boxes.withColumn("area", g.area(F.col("quad")))
-    middle = sized.groupBy("image_id").agg(F.greatest(F.median("area"), F.lit(1e-6)).alias("__middle"))
+    middle = sized.groupBy("image_id").agg(F.greatest(F.coalesce(F.median(F.when(~F.col("supplemental"), F.col("area"))), F.lit(1.0)), F.lit(1e-6)).alias("__middle"))
     return sized.join(middle, "image_id").withColumn("area_ratio", F.col("area") / F.col("__middle")).drop("__middle")
 
 
-def with_flags(boxes: DataFrame, width: float, height: float, small: float = 0.13, border: float = 0.50, aspect: float = 12.0, score: float = 0.55, contact: float = 1.5) -> DataFrame:
-    """boxes of with_area_ratio() with border_contact, aspect and optional."""
+def with_flags(boxes: DataFrame, width: float | Column, height: float | Column, small: float = 0.13, border: float = 0.50, aspect: float = 12.0, score: float = 0.55, contact: float = 1.5) -> DataFrame:
+    """boxes of with_area_ratio() with border_contact, aspect and optional; a fallback (of with_fallback()) never is optional."""
     out = boxes.withColumn("aspect", g.aspect(F.col("quad"))).withColumn("border_contact", g.touches(F.col("quad"), width, height, contact))
     doubtful = (F.col("area_ratio") <= small) | (F.col("border_contact") & (F.col("area_ratio") <= border)) | (F.col("aspect") >= aspect) | (F.col("score") <= score)
-    return out.withColumn("optional", ~F.col("supplemental") & doubtful)
+    spared = F.coalesce("fallback", F.lit(False)) if "fallback" in boxes.columns else F.lit(False)
+    return out.withColumn("optional", ~F.col("supplemental") & ~spared & doubtful)
+
+
+def large_enough(boxes: DataFrame, least: float = 16.0) -> DataFrame:
+    """Boxes whose area, in the source, is at least that."""
+    return boxes.where(g.area(F.col("quad")) >= least)
+
+
+def valid_counts(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """image_id, boxes: how many boxes each image has, 0 without any."""
+    count = boxes.groupBy("image_id").agg(F.count("*").alias("boxes"))
+    return images.select("image_id").distinct().join(count, "image_id", "left").select("image_id", F.coalesce("boxes", F.lit(0)).cast("long").alias("boxes"))
 
 
 def with_fallback(images: DataFrame, boxes: DataFrame, mapped: bool = True) -> DataFrame:
@@ -60,14 +73,18 @@ def with_fallback(images: DataFrame, boxes: DataFrame, mapped: bool = True) -> D
     return boxes.select("image_id", "slot", "quad", "score", "supplemental", F.lit(False).alias("fallback")).unionByName(whole)
 
 
-def orientation(boxes: DataFrame, aspect: float = 1.25, area: float = 0.15) -> DataFrame:
-    """image_id, vertical and skew: a vote of the boxes long and large enough (of all without any), weighted by area."""
-    sized = boxes.select("image_id", g.area(F.col("quad")).alias("area"), g.width(F.col("quad")).alias("w"), g.height(F.col("quad")).alias("h"), g.down(F.col("quad")).alias("down"), g.along(F.col("quad")).alias("along"))
-    middle = sized.groupBy("image_id").agg(F.percentile_disc(0.5).withinGroup("area").alias("middle")) if hasattr(F, "percentile_disc") else sized.groupBy("image_id").agg(F.expr("percentile_disc(0.5) within group (order by area)").alias("middle"))
-    told = sized.join(middle, "image_id")
-    reliable = (F.greatest("w", "h") / F.greatest(F.least("w", "h"), F.lit(1e-6)) >= aspect) & (F.col("area") >= area * F.col("middle"))
-    told = told.withColumn("sure", reliable).withColumn("any", F.max("sure").over(Window.partitionBy("image_id")))
-    used = told.where(F.col("sure") | ~F.col("any"))
+def orientation(boxes: DataFrame, robust: bool = True, aspect: float = 1.25, area: float = 0.15) -> DataFrame:
+    """image_id, vertical and skew: a vote of the boxes, weighted by the product of their upper and left edges (at least 1).
+
+    A robust vote is of the boxes long enough, and large enough against the lower median, or of all where none is.
+    """
+    q = F.col("quad")
+    w, h = F.greatest(g.side(q, 0, 1), F.lit(1e-6)), F.greatest(g.side(q, 0, 3), F.lit(1e-6))
+    used = boxes.select("image_id", w.alias("w"), h.alias("h"), F.greatest(w * h, F.lit(1.0)).alias("area"), g.down(q).alias("down"), g.along(q).alias("along"))
+    if robust:
+        middle = used.groupBy("image_id").agg(F.expr("percentile_disc(0.5) within group (order by area)").alias("middle"))
+        sure = (F.greatest("w", "h") / F.least("w", "h") >= aspect) & (F.col("area") >= area * F.col("middle"))
+        used = used.join(middle, "image_id").withColumn("sure", sure).withColumn("any", F.max("sure").over(Window.partitionBy("image_id"))).where(F.col("sure") | ~F.col("any"))
     votes = used.groupBy("image_id").agg(F.sum(F.col("area") * F.log((F.col("h") + 1) / (F.col("w") + 1))).alias("vote"), *(F.sum(F.col("area") * F.col(f"{a}.{c}")).alias(f"{a}_{c}") for a in ("down", "along") for c in ("x", "y")))
     vertical = F.col("vote") >= 0
     skew = F.when(vertical, F.atan2("down_x", "down_y")).otherwise(F.atan2("along_y", "along_x"))
@@ -75,7 +92,7 @@ def orientation(boxes: DataFrame, aspect: float = 1.25, area: float = 0.15) -> D
 
 
 def projected(boxes: DataFrame, turned: DataFrame) -> DataFrame:
-    """Boxes with their least, greatest and middle place along the line of reading (r) and across it (c)."""
+    """Boxes with the least and greatest place of their corners, and the place of their centre, along the line of reading (r) and across it (c)."""
     sin, cos = F.sin("skew"), F.cos("skew")
     along = lambda p: F.when(F.col("vertical"), p["x"] * sin + p["y"] * cos).otherwise(p["x"] * cos + p["y"] * sin)
     across = lambda p: F.when(F.col("vertical"), p["x"] * cos - p["y"] * sin).otherwise(p["y"] * cos - p["x"] * sin)
@@ -83,7 +100,7 @@ def projected(boxes: DataFrame, turned: DataFrame) -> DataFrame:
     for name, f in (("r", along), ("c", across)):
         places = F.transform("quad", f)
         out = out.withColumn(f"{name}_low", F.array_min(places)).withColumn(f"{name}_high", F.array_max(places))
-        out = out.withColumn(f"{name}_mid", (F.col(f"{name}_low") + F.col(f"{name}_high")) / 2)
+        out = out.withColumn(f"{name}_mid", f(g.centre(F.col("quad"))))
     return out
 
 
@@ -142,45 +159,74 @@ def ordered_by_predecessors(placed: DataFrame) -> DataFrame:
     return out.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy("before", "slot")) - 1)
 
 
-def expanded(boxes: DataFrame, pixels: DataFrame, threshold: float = 0.20, read: float = 0.85, across: float = 0.35, low: float = 2.0, high: float = 18.0) -> DataFrame:
-    """Upright boxes (x0, y0, x1, y1) whose sides move out to the support just outside them.
+def expanded(boxes: DataFrame, pixels: DataFrame, w: int, h: int, threshold: float = 0.20, read: float = 0.85, across: float = 0.35, low: float = 2.0, high: float = 18.0, share: float = 0.25, count: int = 2, gap: float = 2.5, extent: float = 0.5, margin: float = 0.75) -> DataFrame:
+    """image_id, slot, quad and sides (whether left, right, top and bottom moved): boxes whose sides move out to the support just outside them.
 
-    A side looks at pixels of at least the threshold within its cap, in the inner 90 % of its length; it moves if 2 to a
-    quarter of the squared short side are there, the nearest within 2.5 and the farthest half a pixel out or more.
+    Everything is measured along the box's own axes.  A side looks at pixels of at least the threshold within its cap, in
+    the inner 90 % of its length; it moves if `count` to a share of the squared short side are there, the nearest within
+    the gap and the farthest at the extent or beyond.  A box without a moved side stays as it is, others become rectangles
+    along their axes, cut at the map's edges.
     """
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    short, upright = F.least(w, h), h > w
-    cap = lambda ratio: F.least(F.greatest(F.lit(ratio) * short, F.lit(low)), F.lit(high))
-    sized = boxes.withColumn("short", short).withColumn("cap_x", F.when(upright, cap(across)).otherwise(cap(read))).withColumn("cap_y", F.when(upright, cap(read)).otherwise(cap(across)))
-    near = pixels.where(F.col("v") >= threshold).select(F.col("image_id").alias("__image"), (F.col("x") + 0.5).alias("px"), (F.col("y") + 0.5).alias("py"))
-    inside_x = F.col("px").between(F.col("x0") + 0.05 * w, F.col("x1") - 0.05 * w)
-    inside_y = F.col("py").between(F.col("y0") + 0.05 * h, F.col("y1") - 0.05 * h)
-    out = {"left": (F.col("x0") - F.col("px"), inside_y, "cap_x"), "right": (F.col("px") - F.col("x1"), inside_y, "cap_x"), "top": (F.col("y0") - F.col("py"), inside_x, "cap_y"), "bottom": (F.col("py") - F.col("y1"), inside_x, "cap_y")}
-    joined = sized.join(near, F.col("image_id") == F.col("__image"), "left")
+    q, c = F.col("quad"), F.col("centre")
+    dot = lambda p, axis: (p["x"] - c["x"]) * F.col(axis)["x"] + (p["y"] - c["y"]) * F.col(axis)["y"]
+    local = boxes.select("image_id", "slot", "quad", g.centre(q).alias("centre"), g.horizontal(q).alias("u"), g.vertical(q).alias("v"))
+    for axis in ("u", "v"):
+        places = F.array(*(dot(q[i], axis) for i in range(4)))
+        local = local.withColumn(f"{axis}0", F.array_min(places)).withColumn(f"{axis}1", F.array_max(places))
+    wide, tall = F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0")
+    cap = lambda ratio: F.least(F.greatest(F.lit(ratio) * F.least(wide, tall), F.lit(low)), F.lit(high))
+    upright = tall > 1.05 * wide
+    local = local.withColumns({"short": F.least(wide, tall), "cap_u": F.when(upright, cap(across)).otherwise(cap(read)), "cap_v": F.when(upright, cap(read)).otherwise(cap(across))})
+
+    # The box that holds all that the sides look at, cut at the map's edges.
+    reach = F.lit(high + 1.0)
+    bound = lambda f, k: f(F.transform("quad", lambda p: p[k]))
+    inside = lambda value, most: F.greatest(F.lit(0.0), F.least(value, F.lit(float(most))))
+    edges = [inside(bound(F.array_min, "x") - reach, w), inside(bound(F.array_min, "y") - reach, h), inside(bound(F.array_max, "x") + reach, w), inside(bound(F.array_max, "y") + reach, h)]
+    place = F.struct(F.col("px").alias("x"), F.col("py").alias("y"))
+    near = pixel_rows.near(local, pixels.where(F.col("v") >= threshold), *edges).withColumns({"pu": dot(place, "u"), "pv": dot(place, "v")})
+    corridor = lambda k: F.col(f"p{k}").between(F.col(f"{k}0") + 0.05 * (F.col(f"{k}1") - F.col(f"{k}0")), F.col(f"{k}1") - 0.05 * (F.col(f"{k}1") - F.col(f"{k}0")))
+    sides = {"left": (F.col("u0") - F.col("pu"), "v", "cap_u"), "right": (F.col("pu") - F.col("u1"), "v", "cap_u"), "top": (F.col("v0") - F.col("pv"), "u", "cap_v"), "bottom": (F.col("pv") - F.col("v1"), "u", "cap_v")}
     stats = []
-    for side, (far, corridor, most) in out.items():
-        seen = F.when((far > 0) & (far <= F.col(most)) & corridor, far)
+    for side, (far, other, most) in sides.items():
+        seen = F.when((far > 0) & (far <= F.col(most)) & corridor(other), far)
         stats += [F.count(seen).alias(f"{side}_n"), F.min(seen).alias(f"{side}_near"), F.max(seen).alias(f"{side}_far")]
-    found = joined.groupBy("image_id", "slot").agg(*stats)
-    out = sized.join(found, ["image_id", "slot"])
-    move = lambda side, most: F.when((F.col(f"{side}_n") >= 2) & (F.col(f"{side}_n") <= 0.25 * F.col("short") * F.col("short")) & (F.col(f"{side}_near") <= 2.5) & (F.col(f"{side}_far") >= 0.5), F.least(F.col(f"{side}_far") + 0.75, F.col(most))).otherwise(0.0)
-    return out.select("image_id", "slot", (F.col("x0") - move("left", "cap_x")).alias("x0"), (F.col("y0") - move("top", "cap_y")).alias("y0"), (F.col("x1") + move("right", "cap_x")).alias("x1"), (F.col("y1") + move("bottom", "cap_y")).alias("y1"))
+    out = local.join(near.groupBy("image_id", "slot").agg(*stats), ["image_id", "slot"], "left")
+    for side, (_, _, most) in sides.items():
+        moved = (F.col(f"{side}_n") >= count) & (F.col(f"{side}_n") <= share * F.col("short") * F.col("short")) & (F.col(f"{side}_near") <= gap) & (F.col(f"{side}_far") >= extent)
+        moved = F.coalesce(moved, F.lit(False))
+        out = out.withColumn(side, moved).withColumn(f"{side}_move", F.when(moved, F.least(F.col(f"{side}_far") + margin, F.col(most))).otherwise(0.0))
+    ends = {"u0": F.col("u0") - F.col("left_move"), "u1": F.col("u1") + F.col("right_move"), "v0": F.col("v0") - F.col("top_move"), "v1": F.col("v1") + F.col("bottom_move")}
+
+    def corner(a: str, b: str) -> tuple[Column, Column]:
+        at = lambda k: c[k] + ends[a] * F.col("u")[k] + ends[b] * F.col("v")[k]
+        return inside(at("x"), w), inside(at("y"), h)
+
+    moved = F.col("left") | F.col("right") | F.col("top") | F.col("bottom")
+    quad = F.when(moved, g.quad(corner("u0", "v0"), corner("u1", "v0"), corner("u1", "v1"), corner("u0", "v1"))).otherwise(q)
+    return out.select("image_id", "slot", quad.alias("quad"), F.array("left", "right", "top", "bottom").alias("sides"))
 
 
 def repaired(boxes: DataFrame, aspect: float = 4.0, wider: float = 1.5, upright: float = 1.05) -> DataFrame:
-    """Upright boxes (x0, y0, x1, y1): one that is long, and much narrower than the median of its peers, gets their width.
+    """image_id, slot, quad, repaired: a box that is long, and much narrower than the median of its peers, is stretched to
+    their width along its own short axis.
 
     Peers are the other boxes of the image with the same orientation.
     """
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    sized = boxes.withColumn("vertical", h > upright * w).withColumn("cross", F.when(h > upright * w, w).otherwise(h)).withColumn("long", F.when(h > upright * w, h).otherwise(w))
+    q = F.col("of")
+    sized = boxes.select("image_id", "slot", "quad", g.ordered(F.col("quad")).alias("of"))
+    sized = sized.withColumns({"w": g.width(q), "h": g.height(q)}).withColumn("vertical", F.col("h") > upright * F.col("w"))
+    sized = sized.withColumn("cross", F.when(F.col("vertical"), F.col("w")).otherwise(F.col("h")))
     peers = sized.select("image_id", "vertical", F.col("slot").alias("__slot"), F.col("cross").alias("__cross"))
     middle = sized.join(peers, ["image_id", "vertical"]).where(F.col("slot") != F.col("__slot")).groupBy("image_id", "slot").agg(F.median("__cross").alias("middle"))
     out = sized.join(middle, ["image_id", "slot"], "left")
-    fix = F.coalesce((F.col("long") / F.greatest("cross", F.lit(1e-6)) >= aspect) & (F.col("middle") >= wider * F.col("cross")), F.lit(False))
-    more = F.when(fix, (F.col("middle") - F.col("cross")) / 2).otherwise(0.0)
-    dx, dy = F.when(F.col("vertical"), more).otherwise(0.0), F.when(F.col("vertical"), 0.0).otherwise(more)
-    return out.select("image_id", "slot", (F.col("x0") - dx).alias("x0"), (F.col("y0") - dy).alias("y0"), (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), fix.alias("repaired"))
+    short = F.least("w", "h")
+    fix = F.coalesce((F.greatest("w", "h") / F.greatest(short, F.lit(1e-6)) >= aspect) & (F.col("middle") >= wider * F.col("cross")), F.lit(False))
+    axis, c = F.when(F.col("w") <= F.col("h"), g.horizontal(q)).otherwise(g.vertical(q)), g.centre(F.col("quad"))
+    out = out.withColumns({"fix": fix, "axis": axis, "c": c, "scale": F.greatest("middle", F.lit(1e-6)) / short - 1})
+    along = lambda p: (p["x"] - F.col("c")["x"]) * F.col("axis")["x"] + (p["y"] - F.col("c")["y"]) * F.col("axis")["y"]
+    stretched = F.transform("quad", lambda p: F.struct(*((p[k] + F.col("scale") * along(p) * F.col("axis")[k]).alias(k) for k in ("x", "y"))))
+    return out.select("image_id", "slot", F.when(F.col("fix"), stretched).otherwise(F.col("quad")).alias("quad"), F.col("fix").alias("repaired"))
 
 
 def crops(boxes: DataFrame, side: int = 48, most: int = 640) -> DataFrame:

@@ -279,14 +279,14 @@ FROM decided GROUP BY block""",
     "verifier_decision": f"""WITH {_SCORED}, z AS (
   SELECT block, cell, replaced, margin * 1.3::DOUBLE AS blended, margin - ln(exp(0.25::DOUBLE) + exp(margin / 4)) AS log_odds FROM decided WHERE margin IS NOT NULL)
 SELECT block, cell, round(blended, 9) AS blended, round(log_odds, 9) AS log_odds, CASE WHEN replaced THEN log_odds >= -1.764 ELSE log_odds > 1.596 END AS decided FROM z""",
-    "editable_characters": r"""WITH c AS (SELECT unnest(string_split(substr(text, 1, 200), '')) AS ch FROM documents), g AS (SELECT ch, count(*)::BIGINT AS n FROM c WHERE ch <> '' GROUP BY ch)
+    "editable_characters": r"""WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), g AS (SELECT ch, count(*)::BIGINT AS n FROM c WHERE ch <> '' GROUP BY ch)
 SELECT ch, n, regexp_matches(ch, '^[\p{L}\p{N}]$') AND ch NOT IN ('ー', '〜', '～', '〰') AS editable,
   CASE WHEN regexp_matches(ch, '^\p{Nd}') THEN 'digit' WHEN regexp_matches(ch, '^\p{Latin}') THEN 'latin' ELSE 'other' END AS family FROM g""",
     "decoded_tokens": f"""WITH {VIEWS}, i AS (SELECT roi_id, CASE WHEN n = 0 THEN [] ELSE list_transform(string_split(ids, ','), lambda x: x::INT) END AS ids FROM collapsed)
 SELECT roi_id, array_to_string(list_transform(ids[1:5], lambda x: substr('abcdefg', x, 1)), '') AS text,
   array_to_string(list_concat(list_concat([6808], ids[1:8]), list_concat([6809], list_transform(range(len(ids), 8), lambda x: 6807))), ',') AS model_input FROM i""",
     "norm_adapter": r"""WITH z AS (
-  SELECT doc_id, regexp_replace(substr(text, 1, 80) || ' ... ．．．． .. ．' || repeat('.', (doc_id % 9)::INT), '[ 　\t\r\n]', '', 'g') AS t FROM documents)
+  SELECT doc_id, regexp_replace(text || ' ... ．．．． .. ．' || repeat('.', (doc_id % 9)::INT), '[ 　\t\r\n]', '', 'g') AS t FROM documents)
 SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '\.{3,}|．{3,}|\.{1,2}|．{1,2}|[^.．]+'), lambda u: CASE WHEN regexp_matches(u, '^(\.{3,}|．{3,})$') THEN repeat('・', length(u)) ELSE u END), '') AS adapted FROM z""",
     "latency_buckets": f"""WITH {_LATENCY}, b AS (SELECT ms, {_BUCKET} AS bucket FROM events_ms)
 SELECT list_position(['01', '02', '03-04', '05-08', '09-16', '17-32', '33-64', '65+'], bucket)::BIGINT AS place, bucket, count(*)::BIGINT AS samples, round(avg(ms), 6) AS mean_ms,
@@ -300,7 +300,7 @@ SELECT round(avg(ms), 6) AS batch_mean_ms, round(median(ms), 6) AS batch_p50_ms,
     "parameter_report": """SELECT sum(len(embedding))::BIGINT AS total, sum(CASE WHEN label > 0 THEN len(embedding) ELSE 0 END)::BIGINT AS labelled,
   sum(len(list_filter(embedding, lambda v: v > 0)))::BIGINT AS positive FROM embeddings""",
     "norm_key": r"""WITH z AS (
-  SELECT doc_id, translate(regexp_replace(substr(text, 1, 120), '[^ -~]', '?', 'g'), '.,;', '!?~') || '!!?・・・・・・・ーー ..〜〜〜『x』' || repeat('.', (doc_id % 9)::INT) AS t FROM documents),
+  SELECT doc_id, translate(regexp_replace(text, '[^ -~]', '?', 'g'), '.,;', '!?~') || '!!?・・・・・・・ーー ..〜〜〜『x』' || repeat('.', (doc_id % 9)::INT) AS t FROM documents),
 a AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(replace(t, ' ', ''), '\.{3,}|\.{1,2}|[^.]+'), lambda u: CASE WHEN regexp_matches(u, '^\.{3,}$') THEN repeat('・', length(u)) ELSE u END), '') AS t FROM z),
 m AS (SELECT doc_id, regexp_replace(regexp_replace(translate(t, '~『』', '〜「」'), 'ー{2,}', 'ーー', 'g'), '〜{2,}', '〜〜', 'g') AS t FROM a),
 x AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!+\?[!?]*', '!?', 'g'), '\?+![!?]*', '?!', 'g'), '!{2,}', '!!', 'g'), '\?{2,}', '??', 'g') AS t FROM m)

@@ -496,10 +496,11 @@ def _visits(members: DataFrame, trees: DataFrame) -> DataFrame:
 
 def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of each row."""
-    return _placed(df, text, key).drop("rid", "root")
+    return _placed(df, text, key)[0].drop("rid", "root")
 
 
-def _placed(df: DataFrame, text: str, key: str) -> DataFrame:
+def _placed(df: DataFrame, text: str, key: str) -> tuple[DataFrame, list[DataFrame]]:
+    """components() with rid and root, and the tables it reads."""
     spark = df.sparkSession
     runtime.prepare(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -531,7 +532,7 @@ def _placed(df: DataFrame, text: str, key: str) -> DataFrame:
     told = docs.where("sid is not null").join(_by_size(final), "sid", "left").select("doc_id", "rid", "n", "component_id", "root")
     blank = docs.where("sid is null").select("doc_id", "rid", "n", F.col("doc_id").alias("component_id"), F.col("sid").alias("root"))
     out = told.unionByName(blank)
-    return out.select("rid", F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+    return out.select("rid", F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root"), [docs, final]
 
 
 def representatives(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -539,15 +540,20 @@ def representatives(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     Blank texts have no links, so each of their rows is a component.
     """
-    placed = runtime.written(_placed(df, text, key).select("rid", "root", F.col(key).eqNullSafe(F.col("component_id")).alias("first")), "placed")
+    rows, tables = _placed(df, text, key)
+    placed = runtime.written(rows.select("rid", "root", F.col(key).eqNullSafe(F.col("component_id")).alias("first")), "placed")
+    runtime.drop(*tables)
     several = placed.where("first and root is not null").groupBy("root", "rid").agg(F.count("*").alias("times"))
     several = runtime.written(several, "several")
     chosen = several.groupBy("root").agg(F.min("rid").alias("chosen"), F.count("*").alias("rids")).where("rids > 1")
-    others = several.join(_by_size(runtime.written(chosen, "chosen")), "root").where("rid <> chosen").select("rid")
+    chosen = runtime.written(chosen, "chosen")
+    others = several.join(_by_size(chosen), "root").where("rid <> chosen").select("rid")
     gone = placed.where("not first").select("rid").unionByName(others).distinct().withColumnRenamed("rid", "__rid")
-    gone = _by_size(runtime.written(gone, "gone"))
-    left = df.withColumn("__rid", F.xxhash64(df[key], df[text])).join(gone, "__rid", "left_anti")
+    gone = runtime.written(gone, "gone")
     again = runtime.written(several.where("times > 1").select(F.col("rid").alias("__rid")), "again")
+    runtime.drop(placed, several, chosen)
+    gone = _by_size(gone)
+    left = df.withColumn("__rid", F.xxhash64(df[key], df[text])).join(gone, "__rid", "left_anti")
     if again.take(1):
         again = _by_size(again)
         left = left.join(again, "__rid", "left_anti").unionByName(left.join(again, "__rid", "left_semi").dropDuplicates(["__rid"]))

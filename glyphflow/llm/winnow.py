@@ -105,7 +105,10 @@ def _windows(docs: DataFrame, items: DataFrame, prints: DataFrame, short: list[i
         upto(F.size("item_words") - F.col("span") + 1),
         lambda s: (s + F.col("shift") >= 1) & (F.slice("words", F.greatest(s + F.col("shift"), F.lit(1)), F.col("span")) == F.slice("item_words", s, F.col("span"))),
     )
-    return runtime.written(pairs.select("rid", "item_id", "shift", "span", F.explode(starts).alias("start")).select("rid", "item_id", (F.col("start") + F.col("shift")).alias("first"), "span"), "windows")
+    placed = pairs.select("rid", "item_id", "shift", "span", F.explode(starts).alias("start"))
+    windows = runtime.written(placed.select("rid", "item_id", (F.col("start") + F.col("shift")).alias("first"), "span"), "windows")
+    runtime.drop(hit, texts, shifts)
+    return windows
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -124,6 +127,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", key:
     covered = covered.groupBy("rid").agg(F.sum("more").alias("n_hit"))
     ids = windows.groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     told = runtime.written(covered.join(ids, "rid").select("rid", F.col("n_hit").cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("ids")), "told")
+    runtime.drop(items, prints, windows)
     out = docs.select("rid", "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")).join(_small(told), "rid", "left")
     out = out.select("rid", "doc_id", "n_words", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_hit", "n_items")), F.coalesce("ids", F.lit("")).alias("ids"))
     contaminated = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))

@@ -5,7 +5,7 @@ token the log-odds of toxic over other texts under Dirichlet priors: the numbers
 share of the whole sample.  Tokens whose log-odds exceed Z standard errors form the lexicon.  A text's words score the
 log-odds of their best token, all others DRIFT below 0, and a linear-time scan finds every maximal scoring segment.
 Under chance the best segment of n words exceeds x with probability 1 - exp(-K n exp(-lambda x)); lambda solves the
-equation of the word scores in clean texts, and a logistic fit turns the significance of a text's segments into a score.
+equation of the word scores in clean texts, K is fitted to the best segments of these, and a logistic fit turns the significance of a text's segments into a score.
 
 Defined cases: null and empty texts have no words, no passages and the score of a text without any; without labels, or
 with those of one class, the lexicon is empty and every score is the share of label 1 (0.5 without any); texts are
@@ -15,7 +15,7 @@ scanned whole; equal rows get equal scores.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +52,13 @@ def tokens(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.nda
 def segments(scores: np.ndarray, at: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score) of words that score at their places and -drift elsewhere.
 
-    The scan keeps candidates with the total before and after each; a new word joins the nearest candidate that began
-    lower and ended lower, and swallows what lies between.
+    The scan keeps candidates with the totals before and after each; a new word joins the nearest candidate that began
+    lower and ended lower, and swallows what lies between.  `open_` holds the candidates that may still be joined, each
+    beginning higher than the one before: one that begins as high as a later one never is.  Each candidate enters and
+    leaves it once, so the scan is linear.
     """
     kept: list[tuple[int, int, float, float]] = []
+    open_: list[int] = []
     total, last = 0.0, -1
     for score, place in zip(scores.tolist(), at.tolist()):
         total -= drift * (place - last - 1)
@@ -63,12 +66,13 @@ def segments(scores: np.ndarray, at: np.ndarray, drift: float) -> list[tuple[int
         first, left, right = place, total, total + score
         total = right
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= left:
-                j -= 1
-            if j < 0 or kept[j][3] >= right:
+            while open_ and kept[open_[-1]][2] >= left:
+                open_.pop()
+            if not open_ or kept[open_[-1]][3] >= right:
+                open_.append(len(kept))
                 kept.append((first, place, left, right))
                 break
+            j = open_.pop()
             first, left = kept[j][0], kept[j][2]
             del kept[j:]
     return [(a, b, r - l) for a, b, l, r in kept]
@@ -83,12 +87,12 @@ class ToxicModel:
     weights: tuple[float, float]
     intercept: float
 
-    def passages(self, buf: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, float, float]]]:
-        """Of each text its segments: start and end in bytes, score and E-value."""
+    def passages(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[list[tuple[int, int, float, float]]], np.ndarray]:
+        """Of each text its segments (start and end in bytes, score and E-value), and its number of words."""
         out: list[list[tuple[int, int, float, float]]] = [[] for _ in range(len(offsets) - 1)]
-        if not len(self.hashes):
-            return out
         starts, ends, rows, hashes = words(buf, offsets)
+        if not len(self.hashes):
+            return out, np.bincount(rows, minlength=len(out))
         best = np.full(len(starts), -np.inf)
         for at, keys in tokens(buf, starts, ends, hashes):
             place = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
@@ -102,7 +106,7 @@ class ToxicModel:
             for a, b, s in segments(best[part], part - first[row], DRIFT):
                 a, b = a + first[row], b + first[row]
                 out[row].append((int(starts[a] - offsets[row]), int(ends[b] - offsets[row]), float(s), float(self.size * count[row] * np.exp(-self.rate * s))))
-        return out
+        return out, count
 
     def evidence(self, passages: list[tuple[int, int, float, float]]) -> tuple[float, float]:
         """-log10 of the chance of the best segment, and of all significant ones together; both at most 30."""
@@ -174,6 +178,13 @@ def rate_of(scores: np.ndarray, share: np.ndarray, drift: float) -> float:
     return low
 
 
+def size_of(best: np.ndarray, words: np.ndarray, rate: float, least: float) -> float:
+    """K, by maximum likelihood: clean texts of that many words have best segments of these scores, or none (0), which says
+    that no segment reaches the least score of the lexicon."""
+    words, found = np.maximum(words, 1), best > 0
+    return float(max(found.sum(), 1) / (words * np.exp(-rate * np.where(found, best, least))).sum()) if len(best) else 1.0
+
+
 def plain_model(share: float) -> ToxicModel:
     """Without a lexicon: every text has the score of that share."""
     share = min(max(share, 1e-6), 1 - 1e-6)
@@ -200,30 +211,35 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str =
     share = (other + PRIOR * (toxic + other))[chosen] / (m + PRIOR * (n + m))
     rate, scores = rate_of(scores, share, DRIFT), scores[order]
     model = ToxicModel(hashes[order], scores, rate, 1.0, (0.0, 0.0), 0.0)
+    clean = _evidence(picked.where("label = 0").select("key", "text"), model, ["key"]).select("top", "words").orderBy("top", "words").toPandas()
+    least = float(scores.min()) if len(scores) else 1.0
+    model = replace(model, size=size_of(clean["top"].to_numpy(float), clean["words"].to_numpy(float), rate, least))
     rows = _evidence(picked.select("key", "label", "text"), model, ["key", "label"]).orderBy("key", "best", "all").toPandas()
     y = rows["label"].to_numpy(float)
     x = rows[["best", "all"]].to_numpy(float)
     w, intercept = training.lasso_logistic(x, y, np.array([weights[int(v)] for v in y]), 1e-5, 3000)
-    return ToxicModel(model.hashes, model.scores, rate, 1.0, (float(w[0]), float(w[1])), intercept)
+    return replace(model, weights=(float(w[0]), float(w[1])), intercept=intercept)
 
 
 PASSAGE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
 
 def _evidence(df: DataFrame, model: ToxicModel, keep: list[str]) -> DataFrame:
-    """The columns to keep, best, all, score and passages (byte spans) of each row; the text is the last column."""
+    """The columns to keep, best, all, score, passages (byte spans), top (the best segment's score, 0 without any) and words
+    of each row; the text is the last column."""
     place = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = textkit.texts_of(batch.column(place))
             for a, b in textkit.chunks(offsets):
-                found = model.passages(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                found, count = model.passages(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 both = np.array([model.evidence(p) for p in found]).reshape(-1, 2)
                 passages = [[{"start": s, "end": e, "score": v, "e_value": x} for s, e, v, x in p if x < REPORTED] for p in found]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(place)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(model.score(both)), pa.array(passages, PASSAGE)], [*keep, "best", "all", "score", "passages"])
+                top = np.array([max((x[2] for x in p), default=0.0) for p in found])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(place)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(model.score(both)), pa.array(passages, PASSAGE), pa.array(top, pa.float64()), pa.array(count, pa.int64())], [*keep, "best", "all", "score", "passages", "top", "words"])
 
-    types = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "best double, all double, score double, passages array<struct<start:long,end:long,score:double,e_value:double>>"])
+    types = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "best double, all double, score double, passages array<struct<start:long,end:long,score:double,e_value:double>>, top double, words long"])
     return df.mapInArrow(run, types)
 
 

@@ -1,20 +1,26 @@
 """WARC records in ZIP packages: written per partition, read back by ranges without extraction.
 
-A package holds three stored members: archive/data.warc.gz (records, each its own gzip member), indexes/index.cdxj (a line
-for each record: its id, type, offset and length) and datapackage.json.  The reader parses the end record, the ZIP64 one
-if there is one, the central directory and the local headers itself, reads the index as a range, and reads runs of records
-as ranges; any file system that pyarrow opens will do.
+A package holds stored members: archive/data.warc.gz (records, each its own gzip member), indexes/index.cdxj (a line for
+each record: key, timestamp and a JSON object with its file, offset and length) and datapackage.json.  The reader takes
+any package of that layout: it parses the end record, the ZIP64 one if there is one, the central directory and the local
+headers itself, finds the members under archive/ and indexes/, streams every index (plain or gzipped, with or without key
+and timestamp), and reads runs of adjacent records as ranges; any file system that pyarrow opens will do.  Secondary
+indexes (.idx) only point into the others and are left alone.
 
 Files are named at random, and only the names that a task returns count, so a task that is run again leaves a file that
 nothing reads.  Equal payloads of at least LEAST bytes are written once: by the record of the smallest page_id, to which
 the others, revisits, refer.
 
 Defined cases: a null html is an empty payload; equal rows of the smallest page_id are all responses; a row with a null
-page_id is a revisit if its payload has a response with an id; other columns are not read.
+page_id is a revisit if its payload has a response with an id; other columns are not read.  Of foreign records, the
+payload is what follows the HTTP header, as stored (transfer codings stay), or the whole block where there is none; a
+SHA-256 or SHA-1 digest in the header is checked, others aren't; a record without a length in its HTTP header has its
+payload's.  Records that no index names aren't read; an index that names a missing or compressed member is an error.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import struct
@@ -25,17 +31,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.llm import runtime
 
 DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
+ARCHIVES, INDEXES, LISTS = "archive/", "indexes/", (".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")
 #: Bytes of a payload that may be a revisit, bytes of records read in one range, compression level.
 LEAST, RANGE, LEVEL = 100, 4 << 20, 4
 #: Digests (about 100 bytes each) that may be broadcast.
 BROADCAST_ROWS = 200_000
-DATE = "2000-01-01T00:00:00Z"
+DATE, STAMP = "2000-01-01T00:00:00Z", "20000101000000"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -43,9 +50,9 @@ def name_of(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def id_of(name: str) -> int | None:
-    number = name.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+def id_of(name: Column) -> Column:
+    """The page_id of a name_of(); null for an empty or a foreign one."""
+    return F.regexp_extract(name, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -61,16 +68,34 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def headers(lines: list[str]) -> dict[str, str]:
+    """Header lines by lower-case name."""
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k}
+
+
 def parsed(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC header, HTTP header and payload of a record."""
+    """WARC header, HTTP header (none where the block has none) and payload of a record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode(errors="replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    warc = dict(x.split(": ", 1) for x in lines[1:])
-    block = rest[: int(warc["Content-Length"])]
+    warc = headers(lines[1:])
+    block = rest[: int(warc["content-length"])]
+    if not block.startswith(b"HTTP/"):
+        return warc, {}, block
     http, _, payload = block.partition(b"\r\n\r\n")
-    return warc, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
+    return warc, headers(http.decode(errors="replace").split("\r\n")[1:]), payload
+
+
+def checked(payload: bytes, told: str) -> str:
+    """The SHA-256 of a payload, which has the digest that its record tells, if that is of a known kind."""
+    kind, _, value = told.partition(":")
+    digest = hashlib.sha256(payload).hexdigest()
+    if kind.lower() == "sha256" and value.lower() != digest:
+        raise ValueError("broken payload")
+    if kind.lower() == "sha1" and value.upper() not in (base64.b32encode(hashlib.sha1(payload).digest()).decode(), hashlib.sha1(payload).hexdigest().upper()):
+        raise ValueError("broken payload")
+    return digest
 
 
 class Stream:
@@ -172,7 +197,8 @@ def packages(rows: DataFrame, folder: str) -> DataFrame:
                         packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         raw = packer.compress(record(page_id, url, payload, digest, refers_to, revisit)) + packer.flush()
                         data.write(raw)
-                        lines.append(json.dumps({"id": name_of(page_id), "type": "revisit" if revisit else "response", "offset": at, "length": len(raw)}))
+                        about = {"url": url or "", "digest": f"sha256:{digest}", "mime": "warc/revisit" if revisit else "text/html", "filename": DATA.removeprefix(ARCHIVES), "offset": str(at), "length": str(len(raw))}
+                        lines.append(f"page:{'' if page_id is None else page_id})/ {STAMP} {json.dumps(about)}")
                         at += len(raw)
             package.writestr(INDEX, "".join(x + "\n" for x in lines))
             package.writestr(ABOUT, json.dumps({"profile": "data-package", "resources": [{"path": DATA}, {"path": INDEX}]}))
@@ -186,55 +212,87 @@ def _chained(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[
     yield from rest
 
 
-def ranges(paths: DataFrame) -> DataFrame:
-    """path, start and lengths of runs of records of about RANGE bytes, from the packages' own indexes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows: list[tuple[str, int, list[int]]] = []
-                with opened(path) as source:
-                    found = members(source)
-                    base, _ = stored(source, found, DATA)
-                    start, size = stored(source, found, INDEX)
-                    source.seek(start)
-                    for line in source.read(size).splitlines():
-                        entry = json.loads(line)
-                        if not rows or base + entry["offset"] - rows[-1][1] > RANGE:
-                            rows.append((path, base + entry["offset"], []))
-                        rows[-1][2].append(entry["length"])
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "start", "lengths"])
+def listed(source: pa.NativeFile, start: int, size: int, packed: bool) -> Iterator[dict]:
+    """The JSON objects of an index's lines, read a range at a time."""
+    unpacker, line = zlib.decompressobj(31), b""
+    for at in range(start, start + size, RANGE):
+        source.seek(at)
+        data = source.read(min(RANGE, start + size - at))
+        while data:
+            text = unpacker.decompress(data) if packed else data
+            data = unpacker.unused_data if packed else b""  # another gzip member
+            if data:
+                unpacker = zlib.decompressobj(31)
+            *whole, line = (line + text).split(b"\n")
+            yield from (json.loads(x[x.index(b"{") :]) for x in whole if b"{" in x)
+    if b"{" in line:
+        yield json.loads(line[line.index(b"{") :])
 
-    return paths.select("path").mapInArrow(run, "path string, start long, lengths array<long>")
 
+def ranges(paths: DataFrame) -> DataFrame:
+    """path, start, lengths and packed (whether gzipped) of runs of adjacent records of about RANGE bytes, by the packages' own indexes."""
 
-def read(paths: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null in revisits) of each record."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "start", "lengths", "packed"]
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            with opened(path) as source:
+                found = members(source)
+                archives = [n for n in found if n.startswith(ARCHIVES) and not n.endswith("/")]
+                rows: list[tuple[str, int, list[int], bool]] = []
+                end = None
+                for name in sorted(n for n in found if n.startswith(INDEXES) and n.endswith(LISTS)):
+                    for entry in listed(source, *stored(source, found, name), name.endswith(".gz")):
+                        file = entry.get("filename")
+                        member = archives[0] if file is None and len(archives) == 1 else next((n for n in archives if n == file or n == f"{ARCHIVES}{file}"), None)
+                        if member is None:
+                            raise ValueError(f"{path} has no archive {file}")
+                        base, _ = stored(source, found, member)
+                        start, length = base + int(entry["offset"]), int(entry["length"])
+                        if start != end or start - rows[-1][1] > RANGE:
+                            if len(rows) >= 1000:
+                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+                                rows = []
+                            rows.append((path, start, [], member.endswith(".gz")))
+                        rows[-1][2].append(length)
+                        end = start + length
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+    return paths.select("path").mapInArrow(run, "path string, start long, lengths array<long>, packed boolean")
+
+
+def records(paths: DataFrame) -> DataFrame:
+    """record_id, record_type, url, payload_bytes, payload_digest (SHA-256; of a revisit, as told), refers_to_id and payload
+    (null in revisits) of each record."""
     partitions = max(1, paths.count())
+    fields = (("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, start, lengths, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 with opened(path) as source:
                     source.seek(start)
                     data = source.read(sum(lengths))
                 rows, at = [], 0
                 for length in lengths:
-                    warc, http, payload = parsed(zlib.decompress(data[at : at + length], 31))
+                    raw = data[at : at + length]
                     at += length
-                    if revisit := warc["WARC-Type"] == "revisit":
-                        digest = warc["WARC-Payload-Digest"].removeprefix("sha256:")
+                    warc, http, payload = parsed(zlib.decompress(raw, 31) if packed else raw)
+                    kind, told = warc["warc-type"], warc.get("warc-payload-digest", "")
+                    size = int(http["content-length"]) if http.get("content-length", "").isdigit() else len(payload)
+                    if kind == "revisit":
+                        rows.append((warc["warc-record-id"], kind, warc.get("warc-target-uri"), size, told.partition(":")[2] or None, warc.get("warc-refers-to"), None))
                     else:
-                        digest = hashlib.sha256(payload).hexdigest()
-                        if f"sha256:{digest}" != warc["WARC-Payload-Digest"]:
-                            raise ValueError(f"broken payload in {path}")
-                    rows.append((id_of(warc["WARC-Record-ID"]), warc.get("WARC-Target-URI"), int(http["Content-Length"]), digest, warc["WARC-Type"], id_of(warc["WARC-Refers-To"]) if revisit else None, None if revisit else payload))
-                types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                        rows.append((warc["warc-record-id"], kind, warc.get("warc-target-uri"), len(payload), checked(payload, told), None, payload))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
     dealt = ranges(paths.repartition(partitions)).repartition(2 * partitions)
-    return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return dealt.mapInArrow(run, "record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to_id string, payload binary")
+
+
+def read(paths: DataFrame) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null in revisits) of the records of packages()."""
+    return records(paths).select(id_of(F.col("record_id")).alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", id_of(F.col("refers_to_id")).alias("refers_to"), "payload")
 
 
 def op5_warc_zip(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Base spans come from three patterns.  The method adds spans: for each labelled k
 examples is merged, state by state, where the statistics of two states don't differ by more than chance (Hoeffding's
 bound), into a probabilistic automaton over character classes; one more automaton is inferred from ordinary tokens.  In every
 maximal run of token characters, each part of LEAST or more between separators or ends is scored by all automata, and is
-a secret of the likeliest kind if that beats the ordinary automaton by MARGIN bits and no better parts overlap it.
+a secret of the likeliest kind if that beats the ordinary automaton by MARGIN bits and no better parts overlap it.  A part must beat as well
+the automata of single forms of ordinary tokens (identifiers, versions, serial numbers and the like), each by itself.
 
 Defined cases: null and empty texts have no spans; texts of any length are scanned whole; spans of different kinds may
 overlap, but a scored part inside a base span is dropped; equal rows get equal rows; other columns are kept apart.
@@ -40,7 +41,7 @@ HEX = re.compile(r"[0-9a-f]+")
 HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 #: Characters of a scored run at least, and bits by which a kind must beat ordinary tokens.
-LEAST, MARGIN = 20, 12.0
+LEAST, MARGIN = 12, 8.0
 SEPARATORS = b"/.-_+"
 TOKEN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-"))
 HEXES = np.isin(np.arange(256), list(b"0123456789abcdef"))
@@ -143,13 +144,13 @@ def inferred(examples: list[str], alpha: float = 0.05, smooth: float = 0.05) ->
     return Automaton(to, log, end)
 
 
-def labelled(n: int = 250, seed: int = 11) -> dict[str, list[str]]:
-    """Examples of public credential formats by kind, and ordinary tokens under "", made by rule."""
-    rng = random.Random(seed)
+def _forms(rng: random.Random) -> tuple[dict, list, list]:
+    """Makers of credentials by kind, of common ordinary tokens, and of rarer ones that look more like credentials."""
     upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     word = upper + lower + digit
     some = lambda chars, k: "".join(rng.choices(chars, k=k))
     plain = lambda: "".join(some("bcdfghlmnprstvw", 1) + some("aeiou", 1) + some("lnrst", rng.randint(0, 1)) for _ in range(rng.randint(2, 9)))
+    short = lambda: "".join(some("bcdfghlmnprstvw", 1) + some("aeiou", 1) + some("lnrst", rng.randint(0, 1)) for _ in range(rng.randint(1, 4)))
     cased = lambda: rng.choice([str.lower, str.upper, str.capitalize])(plain())
     ordinary = [
         lambda: cased(),
@@ -163,6 +164,19 @@ def labelled(n: int = 250, seed: int = 11) -> dict[str, list[str]]:
         lambda: "-" * rng.randint(8, 40),
         lambda: "." * rng.randint(8, 40),
     ]
+    rarer = [
+        lambda: "".join(short().capitalize() for _ in range(rng.randint(2, 6))),
+        lambda: short() + "".join(short().capitalize() for _ in range(rng.randint(1, 5))),
+        lambda: "".join(short().capitalize() + some(digit, rng.randint(0, 3)) for _ in range(rng.randint(2, 4))),
+        lambda: short() + "".join(short().capitalize() + some(digit, rng.randint(0, 2)) for _ in range(rng.randint(1, 3))),
+        lambda: some(upper, rng.randint(2, 6)) + short().capitalize() + short().capitalize() + some(digit, rng.randint(0, 2)),
+        lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+        lambda: rng.choice("-_./").join(some(digit, rng.randint(1, 5)) for _ in range(rng.randint(3, 6))),
+        *(lambda mark=mark: mark.join(rng.choice([cased(), short(), some(digit, rng.randint(1, 4)), short() + some(digit, rng.randint(1, 3)), some(upper, rng.randint(2, 4))]) for _ in range(rng.randint(2, 6))) for mark in "-_./+"),
+        lambda: "".join(x + rng.choice("-_./+") for x in (rng.choice([short(), some(digit, rng.randint(1, 4)), some(upper, rng.randint(2, 4)), short() + some(digit, 1)]) for _ in range(rng.randint(2, 6)))) + short(),
+        lambda: some(upper, rng.randint(1, 3)) + some(digit, rng.randint(6, 20)),
+        lambda: some(digit, 1) + some(upper, 1) + some(digit, 3) + some(upper, 2) + some(digit, rng.randint(6, 10)),
+    ]
     kinds = {
         "access": lambda: "AKIA" + some(upper + "234567", 16),
         "github": lambda: "gh" + rng.choice("pousr") + "_" + some(word, 36),
@@ -171,25 +185,38 @@ def labelled(n: int = 250, seed: int = 11) -> dict[str, list[str]]:
         "slack": lambda: f"xox{rng.choice('bp')}-{some(digit, 12)}-{some(digit, 12)}-{some(word, 24)}",
         "stripe": lambda: rng.choice(["sk_live_", "rk_live_"]) + some(word, 24),
     }
+    return kinds, ordinary, rarer
+
+
+def labelled(n: int = 250, seed: int = 11) -> dict[str, list[str]]:
+    """Examples of public credential formats by kind, and ordinary tokens under "", made by rule."""
+    kinds, ordinary, _ = _forms(random.Random(seed))
     return {k: [f() for _ in range(n)] for k, f in kinds.items()} | {"": [f() for f in ordinary for _ in range(n)]}
 
 
+def ordinary_forms(n: int = 250, seed: int = 12) -> list[list[str]]:
+    """Examples of each form of ordinary tokens by itself."""
+    _, ordinary, rarer = _forms(random.Random(seed))
+    return [[f() for _ in range(n)] for f in (*ordinary, *rarer)]
+
+
 @dataclass(frozen=True)
 class Formats:
     kinds: tuple[str, ...]
     automata: tuple[Automaton, ...]
-    ordinary: Automaton
+    ordinary: Automaton  # of all ordinary tokens together
+    forms: tuple[Automaton, ...] = ()  # of each form by itself, which a secret must beat, too
 
 
 @lru_cache(1)
 def default_formats() -> Formats:
-    return formats_of(labelled())
+    return formats_of(labelled(), ordinary_forms())
 
 
-def formats_of(examples: dict[str, list[str]]) -> Formats:
-    """examples: labelled credentials by kind, and ordinary tokens under the empty name."""
+def formats_of(examples: dict[str, list[str]], forms: list[list[str]] | None = None) -> Formats:
+    """examples: labelled credentials by kind, and ordinary tokens under the empty name; forms: ordinary tokens form by form."""
     kinds = tuple(sorted(k for k in examples if k))
-    return Formats(kinds, tuple(inferred(examples[k]) for k in kinds), inferred(examples[""]))
+    return Formats(kinds, tuple(inferred(examples[k]) for k in kinds), inferred(examples[""]), tuple(inferred(f) for f in forms or ()))
 
 
 def likelihoods(automaton: Automaton, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -267,7 +294,17 @@ def scored(buf: np.ndarray, offsets: np.ndarray, formats: Formats) -> list[tuple
         while at >= 0:
             kind, a, b, at = records[at]
             out.append((int(rows[i]), formats.kinds[kind], int(starts[i]) + a, int(starts[i]) + b))
-    return sorted(out, key=lambda x: x[2])
+    return sorted(_beating(out, symbols, formats), key=lambda x: x[2])
+
+
+def _beating(parts: list[tuple[int, str, int, int]], symbols: np.ndarray, formats: Formats) -> list[tuple[int, str, int, int]]:
+    """The parts that are likelier by MARGIN bits than any form of ordinary tokens makes them."""
+    if not parts or not formats.forms:
+        return parts
+    starts, sizes = np.array([p[2] for p in parts]), np.array([p[3] - p[2] for p in parts])
+    usual = np.max([likelihoods(a, symbols, starts, sizes) for a in formats.forms], 0)
+    own = np.max([likelihoods(a, symbols, starts, sizes) for a in formats.automata], 0)
+    return [p for p, more in zip(parts, own - usual >= MARGIN) if more]
 
 
 def _masked(kind: str, m: re.Match) -> tuple[int, int]:

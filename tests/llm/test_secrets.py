@@ -122,3 +122,38 @@ def test_long_run():
     token = secrets.labelled(60, seed=99)["stripe"][0]
     run = "ab/cd-" * 3000 + token + "/ef" * 3000
     assert [(k, run[a:b]) for _, k, a, b in hits(run)] == [("stripe", token)]
+
+
+def scored_tokens(tokens):
+    data = [f"take {t} now".encode() for t in tokens]
+    buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(x) for x in data])).astype(np.int64)
+    return {row for row, *_ in secrets.scored(buf, offsets, secrets.default_formats())}
+
+
+def test_credentials_of_other_formats_and_short_ones():
+    """Formats that no automaton was inferred from, and bare random keys; those of hex digits are left to the base pattern."""
+    rng = random.Random(99)
+    upper, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    word = upper + upper.lower() + digit
+    some = lambda chars, k: "".join(rng.choices(chars, k=k))
+    kinds = {
+        "gitlab": (0.9, lambda: "glpat-" + some(word + "_-", 20)),
+        "npm": (0.95, lambda: "npm_" + some(word, 36)),
+        "sendgrid": (0.9, lambda: "SG." + some(word + "_-", 22) + "." + some(word + "_-", 43)),
+        "aws": (0.95, lambda: some(word + "/+", 40)),
+        "linear": (0.95, lambda: "lin_api_" + some(word, 40)),
+        "hub": (0.75, lambda: "hf_" + some(upper + upper.lower(), 34)),
+        "sixteen": (0.75, lambda: some(word, 16)),
+        "twelve": (0.6, lambda: some(word, 12)),
+    }
+    for name, (least, make) in kinds.items():
+        tokens = [make() for _ in range(60)]
+        assert len(scored_tokens(tokens)) >= least * len(tokens), name
+
+
+def test_ordinary_tokens_are_no_secrets():
+    tokens = """getElementById useEffectCallback https://en.wikipedia.org/wiki/Main_Page 550e8400-e29b-41d4-a716-446655440000 2024-05-17T10:22:33.123Z
+    Donaudampfschifffahrtsgesellschaft ISBN-978-3-16-148410-0 src/main/java/org/apache/spark/sql/DataFrame.java IMG_20240517_102233.jpg +49-170-1234567 mycompany@example.com
+    v1.2.3-alpha.4+build.567 HTTP/1.1 user_profile_settings_v2 XMLHttpRequest2 A1B2C3D4 192.168.100.200 utf-8/iso-8859-1 covid-19-pandemic-2020-report MacBookPro16
+    GTX1080Ti DE89370400440532013000 1Z999AA10123456784 SKU-48213-XL-BLUE 4111-1111-1111-1111 libstdc++.so.6.0.30 ResNet50v2 kubernetes.io/ingress-nginx AbstractSingletonProxyFactoryBean""".split()
+    assert not scored_tokens(tokens)

@@ -53,11 +53,39 @@ def candidate_score(similarity: Column, log_p: Column, size: int, scale: float,
     return similarity / F.sqrt(F.lit(float(size))) + F.least(F.exp(F.lit(scale)), F.lit(10.0)) * log_p + rank_bias + F.when(keep, keep_bias).otherwise(0.0)
 
 
-def replacements(scored: DataFrame, threshold: float = 2.0, most: int = 64) -> DataFrame:
+def options(source: Column, candidates: Column) -> Column:
+    """The characters a cell may hold: its own and, if that is a letter or a number, the candidates (an array) that are."""
+    return F.when(editable(source), F.array_distinct(F.concat(F.array(source), F.filter(candidates, lambda c: editable(c))))).otherwise(F.array(source))
+
+
+def masked(ids: Column, places: Column, mask: int) -> Column:
+    """ids with a mask at the places (an array, from 0) that a verifier asks about."""
+    return F.transform(ids, lambda i, place: F.when(F.array_contains(places, place), F.lit(mask)).otherwise(i))
+
+
+def offline(scored: DataFrame, threshold: float = 2.0, floor: float = 2.0) -> DataFrame:
+    """block, token_ids, edits, cells and proposals (cell, best, margin of each cell whose margin exceeds the floor) of scored
+    rows: the best other class replaces the kept one if it leads by more than the threshold, editable or not.
+
+    A cell whose kept class isn't among its candidates raises an error when it is read; one without another class stays.
+    """
+    kept = F.max(F.when(F.col("cls") == F.col("keep"), F.col("score")))
+    other = F.max(F.when(F.col("cls") != F.col("keep"), F.struct("score", (-F.col("cls")).alias("cls"))))
+    cells = scored.groupBy("block", "cell", "keep").agg(kept.alias("k"), other.alias("o"))
+    known = F.when(F.col("k").isNull(), F.raise_error(F.lit("the kept class is no candidate of its cell")).cast("double")).otherwise(F.col("k"))
+    cells = cells.select("block", "cell", "keep", (-F.col("o.cls")).alias("best"), (F.col("o.score") - known).alias("margin"))
+    cells = cells.withColumn("take", F.coalesce(F.col("margin") > threshold, F.lit(False)))
+    row = F.struct("cell", F.when(F.col("take"), F.col("best")).otherwise(F.col("keep")).alias("id"), "best", F.round("margin", 5).alias("margin"))
+    rows = cells.groupBy("block").agg(F.array_sort(F.collect_list(row)).alias("z"), F.count_if("take").alias("edits"), F.count("*").alias("cells"))
+    proposals = F.transform(F.filter("z", lambda z: z["margin"] > floor), lambda z: F.struct(z["cell"].alias("cell"), z["best"].alias("best"), z["margin"].alias("margin")))
+    return rows.select("block", F.transform("z", lambda z: z["id"]).alias("token_ids"), "edits", "cells", proposals.alias("proposals"))
+
+
+def replacements(scored: DataFrame, threshold: float | Column = 2.0, most: int = 64) -> DataFrame:
     """block, cell, keep, best, margin and replaced of each cell of scored rows (block, cell, cls, keep (the cell's class), score, can (editable class)).
 
     The best other class replaces the kept one if it leads by more than the threshold and both are editable; a block of
-    more than most cells is left as it is.
+    more than most cells is left as it is.  The threshold may be an expression over block, cell and keep (by_family()).
     """
     kept = F.max(F.when(F.col("cls") == F.col("keep"), F.struct("score", "can")))
     other = F.max(F.when(F.col("cls") != F.col("keep"), F.struct("score", (-F.col("cls")).alias("cls"), "can")))
@@ -68,6 +96,19 @@ def replacements(scored: DataFrame, threshold: float = 2.0, most: int = 64) -> D
     return sized.select("block", "cell", "keep", (-F.col("o.cls")).alias("best"), margin.alias("margin"), replaced.alias("replaced"))
 
 
+def by_family(char: Column, thresholds: dict[str, float], otherwise: float = 2.0) -> Column:
+    """The threshold of a character's family."""
+    out = F.lit(otherwise)
+    for name, value in thresholds.items():
+        out = F.when(family(char) == name, F.lit(value)).otherwise(out)
+    return out
+
+
+def edited_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks and edited_blocks: how many of assembled() there are, and how many are edited."""
+    return blocks.agg(F.count("*").alias("blocks"), F.count_if("edited").alias("edited_blocks"))
+
+
 def assembled(decided: DataFrame, most: int = 320) -> DataFrame:
     """block, token_ids (replaced where decided, at most most), token_count, edited of each block."""
     final = F.when(F.col("replaced"), F.col("best")).otherwise(F.col("keep"))

@@ -61,12 +61,13 @@ def candidates(frames: DataFrame, most: int = 16) -> DataFrame:
 
 
 def evidence(frames: DataFrame) -> DataFrame:
-    """roi_id, cell, label, margin of the two best classes, keep_rank (rank of the label, 0 if it is none of them), and blank max and mean of each cell."""
+    """roi_id, cell, label, margin of the two best classes, log_margin of their logarithms, keep_rank (rank of the label, 0 if it is none of them), and blank max and mean of each cell."""
     ranked = candidates(frames)
     margins = ranked.groupBy("roi_id", "cell").agg(F.max(F.when(F.col("rank") == 1, F.col("p"))).alias("one"), F.max(F.when(F.col("rank") == 2, F.col("p"))).alias("two"), F.collect_list(F.struct("cls", "rank")).alias("ranks"))
     blank = cell_frames(frames).where(F.col("cls") == BLANK).groupBy("roi_id", "cell", "label").agg(F.max("v").alias("blank_max"), F.avg("v").alias("blank_mean"))
+    log = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-30)))
     keep = F.coalesce(F.filter("ranks", lambda z: z["cls"] == F.col("label"))[0]["rank"], F.lit(0))
-    return blank.join(margins, ["roi_id", "cell"]).select("roi_id", "cell", "label", (F.col("one") - F.col("two")).alias("margin"), keep.alias("keep_rank"), "blank_max", "blank_mean")
+    return blank.join(margins, ["roi_id", "cell"]).select("roi_id", "cell", "label", (F.col("one") - F.col("two")).alias("margin"), (log("one") - log("two")).alias("log_margin"), keep.alias("keep_rank"), "blank_max", "blank_mean")
 
 
 def posterior(frames: DataFrame, tolerance: float = 1e-3) -> DataFrame:
@@ -133,6 +134,12 @@ def supplement_gate(regions: DataFrame, allowed: list[int], confidence: float =
     return regions.withColumn("accepted", F.when(F.col("fallback"), some).otherwise(~F.col("supplemental") | fit))
 
 
+def scattered(slots: DataFrame, results: DataFrame) -> DataFrame:
+    """Each slot (image_id, slot) with its row of results (image_id, slot, token_ids, confidence); without one it has no tokens and confidence 0."""
+    out = slots.join(results, ["image_id", "slot"], "left")
+    return out.withColumn("valid", F.col("token_ids").isNotNull()).withColumn("token_ids", F.coalesce("token_ids", F.array().cast(results.schema["token_ids"].dataType))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
 def packed(cells: DataFrame) -> DataFrame:
     """image_id, position (from 0, over regions in order and their cells) and starts (first cell of a region); cells: image_id, roi, cell."""
     image = Window.partitionBy("image_id").orderBy("roi", "cell")

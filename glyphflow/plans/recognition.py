@@ -54,7 +54,7 @@ def ctc_cells_top(spark, sf_dir):
 
 def ctc_margins(spark, sf_dir):
     r = lambda c: F.round(c, 6).alias(c)
-    return ctc.evidence(frames(spark, sf_dir)).select("roi_id", "cell", "label", r("margin"), "keep_rank", r("blank_max"), r("blank_mean"))
+    return ctc.evidence(frames(spark, sf_dir)).select("roi_id", "cell", "label", r("margin"), r("log_margin"), "keep_rank", r("blank_max"), r("blank_mean"))
 
 
 def ctc_posterior(spark, sf_dir):
@@ -114,6 +114,42 @@ def assembled_blocks(spark, sf_dir):
     return correct.assembled(correct.replacements(_scored(spark, sf_dir), 1.0)).select("block", _ids().alias("token_ids"), "token_count", "edited")
 
 
+def offline_correction(spark, sf_dir):
+    """Blocks whose kept classes all are candidates, corrected at 1, with the proposals above 0.5."""
+    scored = _scored(spark, sf_dir)
+    whole = scored.groupBy("block", "cell").agg(F.bool_or(F.col("cls") == F.col("keep")).alias("has")).groupBy("block").agg(F.bool_and("has").alias("has")).where("has")
+    out = correct.offline(scored.join(whole.select("block"), "block", "left_semi"), 1.0, 0.5)
+    told = F.array_join(F.transform("proposals", lambda z: F.concat_ws(":", z["cell"], z["best"], F.round(z["margin"] * 1000).cast("long"))), ",")
+    return out.select("block", _ids().alias("token_ids"), F.col("edits").cast("long").alias("edits"), F.col("cells").cast("long").alias("cells"), told.alias("proposals"))
+
+
+def family_decision(spark, sf_dir):
+    """Replacements by thresholds of the kept character's family, classes 1 to 7 standing for "aあア漢1%b"."""
+    char = F.substring(F.lit("aあア漢1%b"), F.col("keep"), F.lit(1))
+    limits = correct.by_family(char, {"latin": 0.5, "hiragana": 0.75, "katakana": 1.0, "han": 1.25, "digit": 1.5}, 5.0)
+    return correct.replacements(_scored(spark, sf_dir), limits).select("block", "cell", "replaced")
+
+
+def edited_block_count(spark, sf_dir):
+    return correct.edited_blocks(correct.assembled(correct.replacements(_scored(spark, sf_dir), 1.0)))
+
+
+def option_sets(spark, sf_dir):
+    """What each cell's character may be, classes 1 to 7 standing for "aあー漢1%b"; two of each three cells are asked about."""
+    char = lambda i: F.substring(F.lit("aあー漢1%b"), i, F.lit(1))
+    cells = _scored(spark, sf_dir).groupBy("block", "cell", "keep").agg(F.transform(F.array_sort(F.collect_set("cls")), lambda c: c).alias("ids"))
+    sets = correct.options(char(F.col("keep")), F.transform("ids", char))
+    asked = correct.masked(F.col("ids"), F.array(F.lit(0), F.lit(2)), 9)
+    return cells.select("block", "cell", F.array_join(F.array_sort(sets), "").alias("options"), F.array_join(F.transform(asked, lambda i: i.cast("string")), ",").alias("asked"))
+
+
+def scattered_results(spark, sf_dir):
+    """Every slot of an image of eight, with the results of those regions whose number isn't a multiple of three."""
+    done = ctc.collapsed(frames(spark, sf_dir)).select(F.shiftright("roi_id", 3).alias("image_id"), (F.col("roi_id") % 8).alias("slot"), "roi_id", "token_ids", "confidence")
+    out = ctc.scattered(done.select("image_id", "slot"), done.where("roi_id % 3 <> 0").drop("roi_id"))
+    return out.select("image_id", "slot", _ids().alias("token_ids"), F.round("confidence", 6).alias("confidence"), "valid")
+
+
 def suspicious_cells(spark, sf_dir):
     decided = correct.replacements(_scored(spark, sf_dir), 1.0).withColumn("margin", F.round("margin", 6))
     return correct.suspicious(decided).select("block", "cell", "margin", "rank")
@@ -180,6 +216,14 @@ def em_cer_heldout(spark, sf_dir):
     return _score(spark, sf_dir, "labels")
 
 
+def em_cer_populations(spark, sf_dir):
+    """All pairs and the labelled ones, in one pass."""
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sample_id"), F.lit(True).alias("known")).distinct()
+    key = lambda c: text.key(F.col(c), ascii_only=True)
+    out = reports.score_both(ocr_pairs(spark, sf_dir).join(known, "sample_id", "left"), key("reference"), key("prediction"), F.col("known"))
+    return out.withColumns({c: F.round(c, 9) for c in ("em", "cer")})
+
+
 def em_cer_unfolded(spark, sf_dir):
     pairs = ocr_pairs(spark, sf_dir)
     return reports.score(reports.predictions(pairs, text.key), F.col("normalized_reference"), F.col("normalized_prediction"))
@@ -210,7 +254,7 @@ def latency_slope(spark, sf_dir):
 
 
 def p90_reference(spark, sf_dir):
-    return _latency(spark, sf_dir).groupBy("event_type").agg(reports.nearest_p90(F.col("ms")).alias("p90"))
+    return reports.nearest_p90(_latency(spark, sf_dir), "ms", "event_type")
 
 
 def throughput(spark, sf_dir):
@@ -241,7 +285,7 @@ _SCORE = f"""SELECT count(*)::BIGINT AS samples, count(*) FILTER (r = p)::BIGINT
   sum(length(r))::BIGINT AS reference_characters, round(count(*) FILTER (r = p) / count(*), 9) AS em, round(sum(levenshtein(r, p)) / sum(length(r)), 9) AS cer
 FROM (SELECT replace({_K('reference')}, '〜', '~') AS r, replace({_K('prediction')}, '〜', '~') AS p, sample_id FROM pairs)"""
 
-QUERIES = {f.__name__: f for f in (ctc_collapse, ctc_peaks, ctc_cells_top, ctc_margins, ctc_posterior, gate_consistency, hallucination_rate, gate_supplement, packed_positions, replace_decision, assembled_blocks, suspicious_cells, verifier_decision, editable_characters, decoded_tokens, norm_adapter, norm_key, norm_folded, norm_punct_vectors, em_cer_all, em_cer_heldout, em_cer_unfolded, oracle_distance, latency_buckets, latency_slope, p90_reference, throughput, latency_pairs, parameter_report, seeded_sample)}
+QUERIES = {f.__name__: f for f in (ctc_collapse, ctc_peaks, ctc_cells_top, ctc_margins, ctc_posterior, gate_consistency, hallucination_rate, gate_supplement, packed_positions, replace_decision, assembled_blocks, offline_correction, family_decision, edited_block_count, option_sets, scattered_results, suspicious_cells, verifier_decision, editable_characters, decoded_tokens, norm_adapter, norm_key, norm_folded, norm_punct_vectors, em_cer_all, em_cer_heldout, em_cer_populations, em_cer_unfolded, oracle_distance, latency_buckets, latency_slope, p90_reference, throughput, latency_pairs, parameter_report, seeded_sample)}
 
 _BUCKET = "CASE WHEN n <= 1 THEN '01' WHEN n <= 2 THEN '02' WHEN n <= 4 THEN '03-04' WHEN n <= 8 THEN '05-08' WHEN n <= 16 THEN '09-16' WHEN n <= 32 THEN '17-32' WHEN n <= 64 THEN '33-64' ELSE '65+' END"
 _THRESHOLDS = "[0.05, 0.08, 0.10, 0.12, 0.14, 0.15]"
@@ -252,8 +296,9 @@ ORACLE_SQL = {
     "ctc_cells_top": f"WITH {CELLS} SELECT roi_id, cell, cls, round(p, 6) AS p, rank::INT AS rank FROM ranked WHERE rank <= 4",
     "ctc_margins": f"""WITH {CELLS},
 b AS (SELECT roi_id, cell, label, max(v) AS blank_max, avg(v) AS blank_mean FROM owned WHERE cls = 0 GROUP BY ALL),
-m AS (SELECT roi_id, cell, max(p) FILTER (rank = 1) - max(p) FILTER (rank = 2) AS margin FROM ranked GROUP BY ALL)
-SELECT b.roi_id, b.cell, b.label, round(margin, 6) AS margin, coalesce(r.rank, 0)::INT AS keep_rank, round(blank_max, 6) AS blank_max, round(blank_mean, 6) AS blank_mean
+o AS (SELECT roi_id, cell, max(p) FILTER (rank = 1) AS one, max(p) FILTER (rank = 2) AS two FROM ranked GROUP BY ALL),
+m AS (SELECT roi_id, cell, one - two AS margin, ln(greatest(one, 1e-30::DOUBLE)) - ln(greatest(two, 1e-30::DOUBLE)) AS log_margin FROM o)
+SELECT b.roi_id, b.cell, b.label, round(margin, 6) AS margin, round(log_margin, 6) AS log_margin, coalesce(r.rank, 0)::INT AS keep_rank, round(blank_max, 6) AS blank_max, round(blank_mean, 6) AS blank_mean
 FROM b JOIN m ON b.roi_id = m.roi_id AND b.cell = m.cell LEFT JOIN ranked r ON b.roi_id = r.roi_id AND b.cell = r.cell AND r.cls = b.label""",
     "ctc_posterior": f"""WITH {FRAMES}, e AS (SELECT *, exp(v - max(v) OVER w) AS s FROM frames WINDOW w AS (PARTITION BY roi_id, t)),
 o AS (SELECT bool_or(low < 0 OR abs(total - 1) > 1e-3) AS off FROM (SELECT min(v) AS low, sum(v) AS total FROM frames GROUP BY roi_id, t))
@@ -274,6 +319,23 @@ SELECT image_id, roi, cell, position::BIGINT AS position, starts, round(position
     "replace_decision": f"WITH {_SCORED} SELECT block, cell, keep, best, margin, replaced FROM decided",
     "assembled_blocks": f"""WITH {_SCORED} SELECT block, string_agg((CASE WHEN replaced THEN best ELSE keep END)::VARCHAR, ',' ORDER BY cell) AS token_ids, count(*)::BIGINT AS token_count, bool_or(replaced) AS edited
 FROM decided GROUP BY block""",
+    "offline_correction": f"""WITH {_SCORED}, whole AS (
+  SELECT block FROM (SELECT c.block, c.cell, k.score FROM (SELECT DISTINCT block, cell FROM scored) c LEFT JOIN kept k ON c.block = k.block AND c.cell = k.cell) GROUP BY block HAVING count(*) = count(score)),
+m AS (
+  SELECT c.block, c.cell, c.keep, o.best, round(o.score - k.score, 5) AS margin, coalesce(o.score - k.score > 1.0, FALSE) AS take
+  FROM (SELECT DISTINCT block, cell, keep FROM scored) c JOIN kept k ON c.block = k.block AND c.cell = k.cell LEFT JOIN others o ON c.block = o.block AND c.cell = o.cell WHERE c.block IN (SELECT block FROM whole))
+SELECT block, string_agg((CASE WHEN take THEN best ELSE keep END)::VARCHAR, ',' ORDER BY cell) AS token_ids, count(*) FILTER (take)::BIGINT AS edits, count(*)::BIGINT AS cells,
+  coalesce(string_agg(cell || ':' || best || ':' || round(margin * 1000, 0)::BIGINT, ',' ORDER BY cell) FILTER (margin > 0.5), '') AS proposals FROM m GROUP BY block""",
+    "family_decision": f"""WITH {_SCORED}
+SELECT c.block, c.cell, coalesce(o.score - k.score > [0.5, 0.75, 1.0, 1.25, 1.5, 5.0, 0.5][c.keep] AND k.can AND o.can AND count(*) OVER (PARTITION BY c.block) <= 64, FALSE) AS replaced
+FROM (SELECT DISTINCT block, cell, keep FROM scored) c LEFT JOIN kept k ON c.block = k.block AND c.cell = k.cell LEFT JOIN others o ON c.block = o.block AND c.cell = o.cell""",
+    "edited_block_count": f"""WITH {_SCORED} SELECT count(*)::BIGINT AS blocks, count(*) FILTER (edited)::BIGINT AS edited_blocks FROM (SELECT block, bool_or(replaced) AS edited FROM decided GROUP BY block)""",
+    "option_sets": f"""WITH {_SCORED}, c AS (SELECT block, cell, keep, list_sort(list(DISTINCT cls)) AS ids FROM scored GROUP BY ALL),
+z AS (SELECT *, ['a', 'あ', 'ー', '漢', '1', '%', 'b'] AS chars, [TRUE, TRUE, FALSE, TRUE, TRUE, FALSE, TRUE] AS fit FROM c)
+SELECT block, cell, CASE WHEN fit[keep] THEN array_to_string(list_sort(list_distinct(list_concat([chars[keep]], list_transform(list_filter(ids, lambda i: fit[i]), lambda i: chars[i])))), '') ELSE chars[keep] END AS options,
+  array_to_string(list_transform(ids, lambda i, p: CASE WHEN p IN (1, 3) THEN 9 ELSE i END), ',') AS asked FROM z""",
+    "scattered_results": f"""WITH {VIEWS} SELECT roi_id >> 3 AS image_id, roi_id % 8 AS slot, CASE WHEN roi_id % 3 <> 0 THEN ids ELSE '' END AS token_ids,
+  round(CASE WHEN roi_id % 3 <> 0 THEN confidence ELSE 0 END, 6) AS confidence, roi_id % 3 <> 0 AS valid FROM collapsed""",
     "suspicious_cells": f"""WITH {_SCORED} SELECT block, cell, margin, rank::INT AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY block ORDER BY margin DESC, cell) AS rank FROM decided WHERE margin IS NOT NULL) WHERE rank <= 3""",
     "verifier_decision": f"""WITH {_SCORED}, z AS (
@@ -307,5 +369,7 @@ x AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '・{7,}', '@@@@@@', 'g'), '・{3,6}', '・・・', 'g'), '@@@@@@', '・・・・・・', 'g') AS display FROM x""".replace("@", chr(0xE000)),
     "norm_punct_vectors": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}', TRUE)" for k, v in VECTORS.items()) + ") AS t(source, display, idempotent)",
     "em_cer_all": f"WITH {OCR_PAIRS} {_SCORE}",
+    "em_cer_populations": f"""WITH {OCR_PAIRS}, a AS ({_SCORE}), b AS ({_SCORE} WHERE sample_id IN (SELECT doc_id FROM labels))
+SELECT 'all' AS population, * FROM a UNION ALL SELECT 'subset', * FROM b""",
     "em_cer_heldout": f"WITH {OCR_PAIRS} {_SCORE} WHERE sample_id IN (SELECT doc_id FROM labels)",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphflow.functions import text
@@ -21,6 +21,24 @@ def score(pairs: DataFrame, reference: Column, prediction: Column, subset: Colum
     return total.select("*", F.try_divide("exact_matches", "samples").alias("em"), F.try_divide("edit_distance", "reference_characters").alias("cer"))
 
 
+def score_both(pairs: DataFrame, reference: Column, prediction: Column, subset: Column) -> DataFrame:
+    """score() of all rows (population "all") and of the subset ("subset"), in one pass over the pairs."""
+    rows = pairs.select(reference.alias("r"), prediction.alias("p"), F.coalesce(subset, F.lit(False)).alias("of")).select("r", "p", text.edits("r", "p").alias("d"), "of")
+    rows = rows.withColumn("population", F.explode(F.when(F.col("of"), F.array(F.lit("all"), F.lit("subset"))).otherwise(F.array(F.lit("all")))))
+    total = rows.groupBy("population").agg(F.count("*").alias("samples"), F.count_if(F.col("r") == F.col("p")).alias("exact_matches"), F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("edit_distance"), F.coalesce(F.sum(F.length("r")), F.lit(0)).cast("long").alias("reference_characters"))
+    return total.select("*", F.try_divide("exact_matches", "samples").alias("em"), F.try_divide("edit_distance", "reference_characters").alias("cer"))
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order that leaves no ties: a feature of its own, not a sample."""
+    return rows.orderBy(*order).limit(n)
+
+
+def series(report: dict, value: str = "mean_ms") -> list[tuple[str, float]]:
+    """The points of a report by length (bucket to its figures), in the order of lengths; buckets it lacks are left out."""
+    return [(b, float(report[b][value])) for b in BUCKETS if b in report and report[b].get(value) is not None]
+
+
 def predictions(pairs: DataFrame, normalise) -> DataFrame:
     """pairs with both texts normalised; a text that can't be normalised counts as an error with an empty prediction."""
     out = pairs.withColumn("normalized_reference", normalise(F.col("reference"))).withColumn("normalized_prediction", normalise(F.col("prediction")))
@@ -48,18 +66,23 @@ def trend(rows: DataFrame, ms: Column, n: Column) -> DataFrame:
     return rows.agg(F.regr_slope(F.when(near.isNotNull(), ms), near).alias("slope"), F.corr(n.cast("double"), ms).alias("correlation"), F.median(ms).alias("median_ms"))
 
 
-def nearest_p90(values: Column) -> Column:
-    """The value at position max(int(0.9 n) - 1, 0) of the sorted ones, which is none of the usual percentiles."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, F.greatest(F.lit(1), F.floor(F.size(ordered) * 0.9)).cast("int"))
+def nearest_p90(rows: DataFrame, value: str, *groups: str) -> DataFrame:
+    """groups and p90: the value at position max(int(0.9 n) - 1, 0) of the group's sorted ones, which is none of the usual
+    percentiles; counted and ranked, so that no group is held in one row."""
+    order = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(value)
+    whole = Window.partitionBy(*(groups or [F.lit(0)]))
+    ranked = rows.where(F.col(value).isNotNull()).select(*groups, value, F.row_number().over(order).alias("__at"), F.count("*").over(whole).alias("__n"))
+    return ranked.where(F.col("__at") == F.greatest(F.lit(1), F.floor(F.col("__n") * 0.9))).select(*groups, F.col(value).alias("p90"))
 
 
 def speed(batches: DataFrame, ms: Column, items: Column, prediction: Column) -> DataFrame:
     """Mean, median and 90th of a batch's time, time of an item, throughput and predictions that aren't empty.
 
-    The times of one report, not of a corpus, are sorted together.
+    The times of one report, not of a corpus, are ranked together.
     """
-    total = batches.agg(F.avg(ms).alias("batch_mean_ms"), F.median(ms).alias("batch_p50_ms"), nearest_p90(ms).alias("batch_p90_ms"), F.sum(ms).alias("ms"), F.sum(items).cast("long").alias("items"), F.count_if(prediction != "").alias("nonempty_predictions"))
+    rows = batches.select(ms.alias("ms"), items.alias("items"), prediction.alias("prediction"))
+    total = rows.agg(F.avg("ms").alias("batch_mean_ms"), F.median("ms").alias("batch_p50_ms"), F.sum("ms").alias("ms"), F.sum("items").cast("long").alias("items"), F.count_if(F.col("prediction") != "").alias("nonempty_predictions"))
+    total = total.join(nearest_p90(rows, "ms").withColumnRenamed("p90", "batch_p90_ms"), how="left")  # a row each
     return total.select("batch_mean_ms", "batch_p50_ms", "batch_p90_ms", F.try_divide("ms", "items").alias("per_item_ms"), F.try_divide(F.col("items") * 1000.0, F.col("ms")).alias("items_per_second"), "nonempty_predictions")
 
 

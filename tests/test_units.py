@@ -132,7 +132,7 @@ def test_reports(spark):
     r = reports.score(empty, F.col("reference"), F.col("prediction")).first()
     assert (r.samples, r.edit_distance, r.em, r.cer) == (0, 0, None, None)
     values = spark.range(1, 12).select(F.col("id").cast("double").alias("v"))
-    assert [values.where(f"v <= {n}").agg(reports.nearest_p90(F.col("v")).alias("p")).first().p for n in (1, 2, 10, 11)] == [1.0, 1.0, 9.0, 9.0]
+    assert [reports.nearest_p90(values.where(f"v <= {n}"), "v").first().p90 for n in (1, 2, 10, 11)] == [1.0, 1.0, 9.0, 9.0]
     with pytest.raises(Exception, match="a key has no row"):
         reports.matched(spark.range(3), spark.createDataFrame([(0, 1.0), (1, 2.0)], "k long, o double"), "id", "k", "o").collect()
 
@@ -213,3 +213,164 @@ def test_model_contract(spark):
 def test_sample_is_stable(spark):
     a = reports.sampled(spark.range(1000), F.col("id"), 20).collect()
     assert a == reports.sampled(spark.range(1000).repartition(7).orderBy(F.rand(1)), F.col("id"), 20).collect()
+
+
+QUAD = "image_id long, slot int, quad array<struct<x:double,y:double>>, score double, supplemental boolean"
+
+
+def turned(cx, cy, w, h, angle):
+    cos, sin = np.cos(angle), np.sin(angle)
+    return [(float(cx + (x * w * cos - y * h * sin) / 2), float(cy + (x * w * sin + y * h * cos) / 2)) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+
+
+def test_components_against_a_walk(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for image in (3, 9, 4):
+        on = {(y, x) for y in range(40) for x in range(30) if rng.random() < 0.42}
+        rows += [(image, y * 30 + x, y, x, 1.0) for y, x in on]
+        while on:
+            todo, seen = [next(iter(on))], set()
+            on.discard(todo[0])
+            while todo:
+                y, x = todo.pop()
+                seen.add((y, x))
+                near = {(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & on
+                on -= near
+                todo += near
+            want.update({(image, y, x): min(b * 30 + a for b, a in seen) for y, x in seen})
+    rng.shuffle(rows)
+    got = pixels.components(spark.createDataFrame(rows, "image_id long, p int, y int, x int, v double")).collect()
+    assert {(r.image_id, r.y, r.x): r.root for r in got} == want
+    assert pixels.components(spark.createDataFrame([], "image_id long, p int, y int, x int, v double")).count() == 0
+
+
+def test_base_boxes_alone_give_the_median(spark):
+    rows = [(0, 0, turned(20, 20, 10, 10, 0), 0.9, False), (0, 1, turned(60, 60, 100, 100, 0), 0.9, True), (0, 2, turned(60, 60, 90, 90, 0), 0.9, True), (1, 0, turned(9, 9, 4, 4, 0), 0.9, True)]
+    got = {(r.image_id, r.slot): r.area_ratio for r in boxes.with_area_ratio(spark.createDataFrame(rows, QUAD)).collect()}
+    assert got == pytest.approx({(0, 0): 1.0, (0, 1): 100.0, (0, 2): 81.0, (1, 0): 16.0})
+
+
+def test_a_fallback_is_never_optional(spark):
+    images = spark.createDataFrame([(0, 50.0, 40.0), (1, 50.0, 40.0)], "image_id long, w double, h double")
+    few = spark.createDataFrame([(1, 0, turned(25, 20, 10, 10, 0), 0.5, False)], QUAD)
+    got = {r.image_id: r.optional for r in boxes.with_flags(boxes.with_area_ratio(boxes.with_fallback(images, few)), 50, 40).collect()}
+    assert got == {0: False, 1: True}
+
+
+def test_without_a_base_box_a_supplement_is_refused(spark):
+    df = spark.createDataFrame([(0, 0, turned(9, 9, 4, 4, 0.3), 0.9, True)], QUAD)
+    row = boxes.nearest(df.where("not supplemental"), df)
+    assert row.first().distance == float("inf")
+    regions = row.select("distance", F.array(F.lit(1)).alias("token_ids"), F.lit(0.9).alias("confidence"), "supplemental", F.lit(False).alias("fallback"), F.lit(1.0).alias("area_ratio"))
+    assert ctc.supplement_gate(regions, [1]).first().accepted is False
+
+
+@pytest.mark.parametrize("angle", [0.0, 0.4, -0.7])
+@pytest.mark.parametrize("ratio, end", [(1.04, 0.85), (1.06, 0.35)])
+def test_expansion_turns_with_the_box(spark, angle, ratio, end):
+    """A box of 20 by 20 * ratio, with two lit pixels 1 and 9 beyond its right side: a cap of 0.85 or 0.35 short sides."""
+    centre = np.array([50.0, 50.0])
+    axis = np.array([np.cos(angle), np.sin(angle)])
+    cross = np.array([-np.sin(angle), np.cos(angle)])
+    lit = [tuple(np.round(centre + (10 + far) * axis + off * cross).astype(int).tolist()) for far, off in ((1.2, 0), (1.2, 2), (9, 0), (5, -2))]
+    rows = [(0, y * 100 + x, y, x, 0.9) for x, y in set(lit)]
+    df = spark.createDataFrame([(0, 0, turned(50, 50, 20, 20 * ratio, angle), 0.9, False)], QUAD)
+    got = boxes.expanded(df, spark.createDataFrame(rows, "image_id long, p int, y int, x int, v double"), 100, 100).first()
+    far = [float((np.array(p) - centre) @ axis) - 10 for p in set(lit)]
+    cap = min(max(end * 20, 2.0), 18.0)
+    seen = [f for f in far if 0 < f <= cap]
+    move = min(max(seen) + 0.75, cap)
+    assert list(got.sides) == [False, True, False, False]
+    want = [centre + u * axis + v * cross for u, v in ((-10, -10 * ratio), (10 + move, -10 * ratio), (10 + move, 10 * ratio), (-10, 10 * ratio))]
+    assert [(round(p.x, 6), round(p.y, 6)) for p in got.quad] == [(round(float(x), 6), round(float(y), 6)) for x, y in want]
+
+
+def test_expansion_stops_at_the_edge(spark):
+    df = spark.createDataFrame([(0, 0, turned(5, 5, 8, 8, 0), 0.9, False), (0, 1, turned(50, 50, 8, 8, 0), 0.9, False)], QUAD)
+    rows = [(0, 0, y, x, 0.9) for y in (4, 5) for x in (0,)]
+    got = {r.slot: r for r in boxes.expanded(df, spark.createDataFrame(rows, "image_id long, p int, y int, x int, v double"), 100, 100).collect()}
+    assert got[0].quad[0].x == 0.0 and list(got[0].sides) == [True, False, False, False]
+    assert [tuple(p) for p in got[1].quad] == turned(50, 50, 8, 8, 0) and not any(got[1].sides)
+
+
+@pytest.mark.parametrize("angle", [0.0, 0.5])
+def test_narrow_boxes_take_their_peers_width(spark, angle):
+    sizes = [(8, 40), (12.1, 40), (13, 40), (11.9, 44)]
+    rows = [(0, i, turned(100 * i, 50, w, h, angle), 0.9, False) for i, (w, h) in enumerate(sizes)]
+    got = {r.slot: r for r in boxes.repaired(spark.createDataFrame(rows, QUAD)).collect()}
+    assert [got[i].repaired for i in range(4)] == [True, False, False, False]
+    assert [(round(p.x, 6), round(p.y, 6)) for p in got[0].quad] == [(round(x, 6), round(y, 6)) for x, y in turned(0, 50, 12.1, 40, angle)]
+
+
+def test_primary_boxes_of_a_looser_decode(spark):
+    rows = [(0, 0, turned(50, 50, 5, 30, 0.2), 0.45, False), (0, 1, turned(50, 50, 4.99, 30, 0.2), 0.9, False), (0, 2, turned(1, 50, 2, 30, 0), 0.9, False), (0, 3, turned(50, 50, 9, 9, 0), 0.4499, False)]
+    got = pixels.primary_of(spark.createDataFrame(rows, QUAD), 100, 100)
+    assert sorted(r.slot for r in got.collect()) == [0, 2]
+    assert boxes.large_enough(spark.createDataFrame([(0, 0, turned(9, 9, 4, 4, 0), 0.9, False), (0, 1, turned(9, 9, 4, 3.99, 0), 0.9, False)], QUAD)).count() == 1
+    assert {r.image_id: r.boxes for r in boxes.valid_counts(spark.createDataFrame([(0,), (7,)], "image_id long"), got).collect()} == {0: 2, 7: 0}
+
+
+def plain_order(quads, robust):
+    """Place of each box, by matrices of pairs."""
+    q = np.array(quads)
+    w, h = np.hypot(*(q[:, 1] - q[:, 0]).T), np.hypot(*(q[:, 3] - q[:, 0]).T)
+    area = np.maximum(w * h, 1)
+    use = np.ones(len(q), bool)
+    if robust:
+        sure = (np.maximum(w, h) / np.minimum(w, h) >= 1.25) & (area >= 0.15 * np.sort(area)[(len(q) - 1) // 2])
+        use = sure if sure.any() else use
+    vertical = (area * np.log((h + 1) / (w + 1)))[use].sum() >= 0
+    axes = q[:, 3] - q[:, 0] + q[:, 2] - q[:, 1] if vertical else q[:, 1] - q[:, 0] + q[:, 2] - q[:, 3]
+    axes = axes / np.hypot(*axes.T)[:, None]
+    axes = np.where((axes[:, int(vertical)] < 0)[:, None], -axes, axes)
+    read = (axes * area[:, None])[use].sum(0)
+    read /= np.hypot(*read)
+    cross = np.array([read[1], -read[0]]) if vertical else np.array([-read[1], read[0]])
+    r, c, rm, cm = q @ read, q @ cross, q.mean(1) @ read, q.mean(1) @ cross
+    share = lambda p: np.maximum(np.minimum.outer(p.max(1), p.max(1)) - np.maximum.outer(p.min(1), p.min(1)), 0)
+    least = lambda p: np.minimum.outer(np.ptp(p, 1), np.ptp(p, 1))
+    gap = np.maximum(np.maximum.outer(r.min(1), r.min(1)) - np.minimum.outer(r.max(1), r.max(1)), 0)
+    a, b, d = (0.25, 0.65, 0.35) if robust else (0.35, 0.50, 0.20)
+    same = ((share(c) >= a * least(c)) | (np.abs(np.subtract.outer(cm, cm)) <= b * least(c))) & (share(r) <= d * least(r))
+    if not robust:
+        same &= gap <= 0.75 * least(r)
+    root = list(range(len(q)))
+    for i in range(len(q)):
+        if robust:
+            fits = [(abs(cm[t] - cm[i]), t) for t in range(i) if root[t] == t and all(same[i, m] for m in range(i) if root[m] == t)]
+            root[i] = min(fits)[1] if fits else i
+        else:
+            low = min([root[j] for j in range(i) if same[i, j]] + [i])
+            joined = {root[j] for j in range(i) if same[i, j]}
+            root = [low if j == i or (j < i and root[j] in joined) else root[j] for j in range(len(q))]
+    mean = {t: round(float(np.mean([cm[i] for i in range(len(q)) if root[i] == t])), 9) for t in set(root)}
+    lines = sorted(mean, key=lambda t: (-mean[t] if vertical else mean[t], t))
+    places = sorted(range(len(q)), key=lambda i: (lines.index(root[i]), rm[i], i))
+    return {i: (lines.index(root[i]), places.index(i)) for i in range(len(q))}
+
+
+@pytest.mark.parametrize("robust", [True, False])
+def test_reading_order_against_matrices(spark, robust):
+    rng = random.Random(3)
+    images = []
+    for k in range(25):
+        lean = rng.uniform(-0.3, 0.3)
+        images.append([turned(rng.uniform(0, 120), rng.uniform(0, 120), rng.uniform(4, 30), rng.uniform(4, 60 if k % 2 else 20), lean + rng.uniform(-0.1, 0.1)) for _ in range(rng.randint(1, 9))])
+    df = spark.createDataFrame([(k, i, q, 0.9, False) for k, quads in enumerate(images) for i, q in enumerate(quads)], QUAD)
+    placed = boxes.projected(df, boxes.orientation(df, robust))
+    got = {}
+    for r in boxes.reading_order(boxes.tracks(placed, robust)).collect():
+        got.setdefault(r.image_id, {})[r.slot] = (r.track, r.place)
+    assert got == {k: plain_order(quads, robust) for k, quads in enumerate(images)}
+
+
+def test_offline_correction_and_reports(spark):
+    rows = [(0, 0, 1, 1, 1.0), (0, 0, 1, 2, 3.5), (0, 1, 4, 4, 2.0), (0, 2, 5, 5, 0.0), (0, 2, 5, 6, 1.9), (0, 2, 5, 3, 1.9)]
+    got = correct.offline(spark.createDataFrame(rows, "block long, cell int, keep int, cls int, score double"), 2.0, 1.0).first()
+    assert (list(got.token_ids), got.edits, got.cells) == ([2, 4, 5], 1, 3)
+    assert [tuple(p) for p in got.proposals] == [(0, 2, 2.5), (2, 3, 1.9)]
+    with pytest.raises(Exception, match="no candidate"):
+        correct.offline(spark.createDataFrame([(0, 0, 9, 1, 1.0)], "block long, cell int, keep int, cls int, score double")).collect()
+    assert reports.series({"65+": {"mean_ms": 2}, "01": {"mean_ms": 1.5}, "02": {}}) == [("01", 1.5), ("65+", 2.0)]
+    assert [r.id for r in reports.first_rows(spark.range(9), 3, "id").collect()] == [0, 1, 2]

@@ -59,12 +59,12 @@ class FertilityConfig:
     least_tokens: int = 8
 
 
-#: Default bands: three times the scatter, by length, of labelled good rows below their median; a caller's own corpus may need others.
+#: Default bands of languages: fitted_bands() of the good rows of the labelled half of a sample corpus with even ids; another corpus may need its own.
 BANDS = {
-    "en": Band(2.233, 2.73, 2.209, 2.58),
-    "de": Band(2.026, 2.67, 2.235, 2.70),
-    "fr": Band(1.839, 3.15, 1.968, 2.61),
-    "es": Band(1.757, 2.43, 1.933, 2.64),
+    "en": Band(2.243, 2.75, 2.219, 2.62),
+    "de": Band(2.036, 2.68, 2.245, 2.76),
+    "fr": Band(1.850, 3.17, 1.979, 2.62),
+    "es": Band(1.766, 2.43, 1.941, 2.75),
     "latin": Band(1.0, 2.0, 1.0, 2.0),
     # Scripts: between the measures of clean texts and of random letters.  Most tokens are single characters there.
     "greek": Band(0.62, 0.8, 0.70, 0.8, fallback=0.15, entropy=0.2),
@@ -81,6 +81,24 @@ BANDS = {
 }
 
 
+#: Standard deviations, for texts of one token, by which a fitted bound gives way.
+GIVE = 3.0
+
+
+def fitted_bands(rows: DataFrame, group: str, give: float = GIVE) -> dict[str, Band]:
+    """Bands by language (or any group) from assessed() rows of good texts: all that pass the base rules count.
+
+    Each lower bound is the median of its measure; it gives way by `give` standard deviations, where the deviation of a text
+    of n tokens from the median counts sqrt(n)-fold, as means of n tokens scatter.  The standard deviation is taken from the
+    median of the absolute ones, since some labels are wrong.
+    """
+    good = rows.where(~F.col("base_failed") & F.col(group).isNotNull())
+    middle = good.groupBy(group).agg(F.median("chars_per_byte_token").alias("m0"), F.median("chars_per_piece").alias("m1"))
+    off = lambda v, m: 1.4826 * F.median(F.abs(F.col(v) - F.col(m)) * F.sqrt("n_pieces"))
+    told = good.join(middle, group).groupBy(group).agg(F.first("m0").alias("m0"), F.first("m1").alias("m1"), off("chars_per_byte_token", "m0").alias("s0"), off("chars_per_piece", "m1").alias("s1"))
+    return {r[0]: Band(r.m0, give * r.s0, r.m1, give * r.s1) for r in told.collect()}  # a row for each language
+
+
 def default_config() -> FertilityConfig:
     import public_tokenizers
 

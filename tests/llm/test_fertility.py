@@ -153,3 +153,17 @@ def test_fall_back_band_of_all():
     buf, offsets = flat([CLEAN["han"], "丂丄丅丆丏丒丗丟丠両丣並 " * 2 + "丩丮丯丱丳丵丷丼乀乁 乂乄乆乊乑乕 乗乚乛 乢乣乤 乥乧乨 乪乫乬 乭乮乯 乲乴乵 乶乷乸 乹乺乻"])
     m = fertility.measures(buf, offsets, fertility.words_of(c.byte_vocabulary, c.piece_vocabulary))
     assert fertility.verdicts(m, [None, "zh"], fertility.scripts_of(buf, offsets), config).tolist() == [True, False]
+
+
+def test_bands_are_fitted_to_median_and_scatter(spark):
+    rng = np.random.default_rng(2)
+    n = rng.integers(10, 3000, 4000)
+    rows = [("xx", False, 2.0 + 0.9 * float(e) / float(k) ** 0.5, 3.0 + 0.5 * float(f) / float(k) ** 0.5, int(k)) for k, e, f in zip(n, rng.standard_normal(4000), rng.standard_normal(4000))]
+    rows += [("xx", False, 0.5, 0.5, 400)] * 150 + [("xx", True, 9.0, 9.0, 5)] * 900 + [(None, False, 1.0, 1.0, 50), ("one", False, 1.5, 1.25, 20)]
+    df = spark.createDataFrame(rows, "lang string, base_failed boolean, chars_per_byte_token double, chars_per_piece double, n_pieces long")
+    bands = fertility.fitted_bands(df, "lang")
+    assert set(bands) == {"xx", "one"}
+    assert (bands["xx"].least, bands["xx"].least_piece) == pytest.approx((2.0, 3.0), abs=0.01)
+    assert (bands["xx"].width, bands["xx"].width_piece) == pytest.approx((2.7, 1.5), rel=0.1)
+    assert (bands["one"].least, bands["one"].width) == (1.5, 0.0)
+    assert fertility.fitted_bands(df.limit(0), "lang") == {}

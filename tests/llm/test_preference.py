@@ -40,3 +40,21 @@ def test_pairs(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert preference.preferences(df, F.col("conv_id"), F.lit(True)).count() == 0
+
+
+def test_swapped_last_turns(spark):
+    u, x, y = ("user", "hi é"), ("assistant", "x" * 30), ("assistant", "")
+    talks = {0: [u, x], 1: [u, y], 2: [u, x, u, y], 3: [u, x], 4: [u, x], 5: [u, x], 6: [x], 9: [y, u, x], 10: [("unknown", "")], 11: [u]}
+    rows = [(c, None if c == 9 and i == 2 else i, None if r == "unknown" else r, None if (r, t) == ("unknown", "") else t) for c, turns in talks.items() for i, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame([*rows, rows[0], (None, 0, "user", "lost")], "conv_id long, turn long, role string, text string")
+    both = preference.swapped(df)
+    got = {r.pair_id: tuple(r)[1:] for r in preference.formatted(both, F.col("alone")).collect()}
+    want = {}
+    for c, turns in talks.items():
+        partner = talks.get(c ^ 1)
+        want[c] = plain(turns, turns[:-1] + (partner[-1:] if partner else []))
+        if not partner:
+            want[c] = ("unpaired", *want[c][1:])
+    assert got == want
+    assert any(n for _, n, *_ in got.values())
+    assert preference.formatted(preference.swapped(df.limit(0)), F.col("alone")).count() == 0

@@ -82,7 +82,7 @@ def ocr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = items.agg(F.max("item_id") + 1).first()[0]
     fold = lambda c: F.regexp_replace(c, "[^ -~]", "?")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("said"))
-    return docs.join(F.broadcast(items), docs.doc_id % n == items.item_id).select(F.col("doc_id").alias("sample_id"), fold("said").alias("reference"), fold("text").alias("prediction"))
+    return docs.join(items, docs.doc_id % n == items.item_id).select(F.col("doc_id").alias("sample_id"), fold("said").alias("reference"), fold("text").alias("prediction"))
 
 
 OCR_PAIRS = """pairs AS (

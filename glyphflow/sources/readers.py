@@ -84,15 +84,15 @@ def _png(data: bytes) -> np.ndarray:
         kind, line, up = raw[y, 0], raw[y, 1:].astype(int), out[y - 1].astype(int) if y else np.zeros(w * n, int)
         if kind == 0:
             out[y] = line
+        elif kind == 1:
+            out[y] = (np.cumsum(line.reshape(w, n), 0) & 255).ravel()
         elif kind == 2:
             out[y] = (line + up) & 255
         else:
             now = np.zeros(w * n, int)
             for x in range(w * n):
                 left, corner = (now[x - n], up[x - n]) if x >= n else (0, 0)
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
+                if kind == 3:
                     guess = (left + up[x]) // 2
                 else:
                     p = left + up[x] - corner

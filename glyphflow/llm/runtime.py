@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,10 +56,10 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables that written() made and that nothing needs any more; others are left alone."""
+    """Delete tables that written() made and that nothing needs any more; others, and those out of reach, are left alone."""
     for path in filter(None, (getattr(t, "written_at", None) for t in tables)):
-        system, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        with contextlib.suppress(FileNotFoundError):
+        with contextlib.suppress(OSError, pa.ArrowInvalid):  # what stays takes space, no more
+            system, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
             system.delete_dir(where)
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 
 import public_tokenizers
@@ -66,3 +67,39 @@ def test_empty(spark, stage):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[stage][1](spark, docs, sf).count() == 0
+
+
+def small_tables(spark, folder, n):
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(30)), "en", "s", 1) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, rows[3][1])] if n else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, small_tables(spark, f"{tmp_path}/none", 0)).count() == 0
+
+
+def test_a_failed_run_can_be_repeated(spark, tmp_path, monkeypatch):
+    folder = small_tables(spark, f"{tmp_path}/few", 6)
+    stages = [(n, (lambda spark, docs, sf_dir: docs) if n == "quality_rules" else f) for n, f in corpus_pipeline.STAGES]
+
+    def broken(spark, docs, sf_dir):
+        raise OSError("lost")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, broken if n == "secret_scan" else f) for n, f in stages])
+    with pytest.raises(OSError):
+        corpus_pipeline.run(spark, folder)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == [0, 1, 2, 4, 5]
+
+
+def test_dropped_tables_are_gone(spark):
+    from glyphflow.llm import runtime
+
+    table = runtime.written(spark.range(3), "gone")
+    path = table.written_at.removeprefix("file://")
+    assert os.path.isdir(path)
+    runtime.drop(table, spark.range(1))
+    runtime.drop(table)
+    assert not os.path.exists(path)

@@ -238,7 +238,7 @@ def quad_geometry(spark, sf_dir):
     skewed = F.array(q[0], q[1], F.struct((q[2]["x"] + 9).alias("x"), (q[2]["y"] + F.col("slot")).alias("y")), q[3])
     coefficients = g.projective(skewed, F.lit(48.0), F.lit(32.0))
     named = lambda quad, name: [F.round(quad[i][k], 9).alias(f"{name}_{k}{i}") for i in range(4) for k in ("x", "y")]
-    return boxes(spark, sf_dir).select("image_id", "slot", box["top"].alias("top"), box["height"].alias("height"), *named(g.ordered(F.array(q[2], q[0], q[3], q[1])), "ordered"), *named(back, "mapped"), *named(g.rescaled(q, F.lit(0.5), F.lit(2.0)), "rescaled"), *((F.round(coefficients[i], 6) + 0.0).alias(f"p{i}") for i in range(8)))
+    return boxes(spark, sf_dir).select("image_id", "slot", box["top"].alias("top"), box["height"].alias("height"), *named(g.ordered(F.array(q[2], q[0], q[3], q[1])), "ordered"), *named(back, "mapped"), *named(g.rescaled(q, F.lit(0.5), F.lit(2.0)), "rescaled"), *((F.round(coefficients[i], 8) + 0.0).alias(f"p{i}") for i in range(8)))
 
 
 QUERIES = {f.__name__: f for f in (pixel_thresholds, primary_mask, valid_counts, ccl_sizes, ccl_topk_overflow, component_moments, min_area_rect, box_score, unclip_filter, box_decode, supplement_dedup, nearest_base, merged_boxes, median_area_ratio, optional_flags, fallback_rows, orientation_vote, reading_order, reading_order_lines, predecessor_order, narrow_peer_repair, adaptive_expand, crop_sizes, bucket_width, quad_geometry)}
@@ -330,7 +330,7 @@ d AS (SELECT *, jx - ex AS x1, dx - ex AS x2, ax - jx + ex - dx AS x3, jy - ey A
 n AS (SELECT *, x1 * y2 - x2 * y1 AS below FROM d),
 z AS (SELECT *, (x3 * y2 - x2 * y3) / below AS u, (x1 * y3 - x3 * y1) / below AS v FROM n)
 SELECT image_id, slot, floor((224 - height) / 2) AS top, height, {ordered}, {named('mapped', mapped)}, {named('rescaled', lambda p, k: f"{p}{k} * {0.5 if k == 'x' else 2}")},
-  {', '.join(f'CASE WHEN abs(below) > 1e-8 THEN round({r}, 6) + 0.0 END AS p{i}' for i, r in enumerate(rows))} FROM z"""
+  {', '.join(f'CASE WHEN abs(below) > 1e-8 THEN round({r}, 8) + 0.0 END AS p{i}' for i, r in enumerate(rows))} FROM z"""
 
 
 _DECODED = f"""{FITTED.replace('CHOSEN', 'slot < 8')},{SCORING}, {_unclipped_sql(SIDE, 0.05)},

@@ -213,17 +213,16 @@ def repaired(boxes: DataFrame, aspect: float = 4.0, wider: float = 1.5, upright:
 
     Peers are the other boxes of the image with the same orientation.
     """
-    q = F.col("of")
-    sized = boxes.select("image_id", "slot", "quad", g.ordered(F.col("quad")).alias("of"))
-    sized = sized.withColumns({"w": g.width(q), "h": g.height(q)}).withColumn("vertical", F.col("h") > upright * F.col("w"))
-    sized = sized.withColumn("cross", F.when(F.col("vertical"), F.col("w")).otherwise(F.col("h")))
+    axis = lambda q: F.when(g.width(q) <= g.height(q), g.horizontal(q)).otherwise(g.vertical(q))
+    told = g.let(g.ordered(F.col("quad")), lambda q: F.struct(g.width(q).alias("w"), g.height(q).alias("h"), axis(q).alias("axis")))
+    sized = boxes.select("image_id", "slot", "quad", told.alias("told"), g.centre(F.col("quad")).alias("c")).select("image_id", "slot", "quad", "c", "told.*")
+    sized = sized.withColumn("vertical", F.col("h") > upright * F.col("w")).withColumn("cross", F.when(F.col("vertical"), F.col("w")).otherwise(F.col("h")))
     peers = sized.select("image_id", "vertical", F.col("slot").alias("__slot"), F.col("cross").alias("__cross"))
     middle = sized.join(peers, ["image_id", "vertical"]).where(F.col("slot") != F.col("__slot")).groupBy("image_id", "slot").agg(F.median("__cross").alias("middle"))
     out = sized.join(middle, ["image_id", "slot"], "left")
     short = F.least("w", "h")
     fix = F.coalesce((F.greatest("w", "h") / F.greatest(short, F.lit(1e-6)) >= aspect) & (F.col("middle") >= wider * F.col("cross")), F.lit(False))
-    axis, c = F.when(F.col("w") <= F.col("h"), g.horizontal(q)).otherwise(g.vertical(q)), g.centre(F.col("quad"))
-    out = out.withColumns({"fix": fix, "axis": axis, "c": c, "scale": F.greatest("middle", F.lit(1e-6)) / short - 1})
+    out = out.withColumns({"fix": fix, "scale": F.greatest("middle", F.lit(1e-6)) / short - 1})
     along = lambda p: (p["x"] - F.col("c")["x"]) * F.col("axis")["x"] + (p["y"] - F.col("c")["y"]) * F.col("axis")["y"]
     stretched = F.transform("quad", lambda p: F.struct(*((p[k] + F.col("scale") * along(p) * F.col("axis")[k]).alias(k) for k in ("x", "y"))))
     return out.select("image_id", "slot", F.when(F.col("fix"), stretched).otherwise(F.col("quad")).alias("quad"), F.col("fix").alias("repaired"))

@@ -50,8 +50,8 @@ RANGE, PACK, MOST = 2_000_000, 4_000_000, 1_000_000
 BLOCK, BLOCK_ELEMENTS, COLUMNS = 4096, 4_000_000, 2048
 #: Edges (16 bytes each) that one task may contract; rows of a table that may be broadcast (8 to 24 bytes each).
 ONE_TASK, BROADCAST_ROWS = 500_000, 1_000_000
-#: Bits left of a signature in its bucket.
-KEPT = 56
+#: Bits left of a signature, at least and at most; how many more than those that count the elements of all sets.
+LEAST_BITS, MOST_BITS, SPARE_BITS = 40, 56, 10
 
 
 def _bounds(most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +96,14 @@ def shares(instance: np.ndarray) -> np.ndarray:
     return np.maximum(1, 2 * least // 7 // SHARES)
 
 
+def kept_bits(total: int) -> int:
+    """Bits left of a signature among those of `total` elements: other texts share about one in a thousand by chance.
+
+    A chance hit joins two buckets, which loses no link and costs a comparison at most.
+    """
+    return min(MOST_BITS, max(LEAST_BITS, int(total).bit_length() + SPARE_BITS))
+
+
 def signatures(keys: np.ndarray, n: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The signatures of sets (ascending elements one set after another, sizes), the set of each, whether it is of the
     instance of the band above, and which sets have too few filled pieces for the promise."""
@@ -182,9 +190,10 @@ def _unplaned(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
 
 
-def _packed(docs: DataFrame, ranges: int, salt: int) -> DataFrame:
-    """range, sigs, refs, sids, sizes: the signatures of many sets in a range, ascending, as differences; refs hold the place
-    of a signature's set among sids and sizes, twice, plus its step.  A range of -1 tells of a set with too few pieces."""
+def _packed(docs: DataFrame, ranges: int, salt: int, bits: int) -> DataFrame:
+    """range, sigs, refs, sids, sizes: the signatures of many sets in a range, ascending, as differences of their upper bits;
+    refs hold the place of a signature's set among sids and sizes, twice, plus its step.  A range of -1 tells of a set with
+    too few pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -195,7 +204,7 @@ def _packed(docs: DataFrame, ranges: int, salt: int) -> DataFrame:
             sig, ref, sid, n = (np.concatenate([h[i] for h in held]) for i in range(4))
             order = np.argsort(sig)
             sig, ref = sig[order], ref[order]
-            edges = np.searchsorted(sig, (np.arange(1, ranges) * ((1 << KEPT) / ranges)).astype(U64))
+            edges = np.searchsorted(sig, (np.arange(1, ranges) * ((1 << bits) / ranges)).astype(U64))
             rows = []
             for k, (a, b) in enumerate(zip(np.append(0, edges).tolist(), np.append(edges, len(sig)).tolist())):
                 if a < b:
@@ -212,7 +221,7 @@ def _packed(docs: DataFrame, ranges: int, salt: int) -> DataFrame:
                 sig, owner, step, few = signatures(keys, n, salt)
                 if few.any():
                     yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([b""], pa.binary()) for _ in range(4))], names)
-                held.append((sig >> U64(64 - KEPT), (owner + first) * 2 + step, sid, n))
+                held.append((sig >> U64(64 - bits), (owner + first) * 2 + step, sid, n))
                 first, total = first + len(n), total + len(sig)
                 if total >= min(max(ranges * 4096, RANGE // 8), PACK):
                     yield pack()
@@ -307,7 +316,7 @@ def _members(docs: DataFrame, total: int) -> DataFrame:
     ranges = max(partitions, -(-total // RANGE))
     asked = F.lit([int(s) for s in shares(np.arange(len(LOWS)))])
     for salt in range(8):
-        buckets = _labelled(_packed(docs, ranges, salt).repartitionById(ranges, F.pmod("range", F.lit(ranges)).cast("int")), MOST)
+        buckets = _labelled(_packed(docs, ranges, salt, kept_bits(total)).repartitionById(ranges, F.pmod("range", F.lit(ranges)).cast("int")), MOST)
         counted = buckets.repartition(partitions, "sid").groupBy("sid", "n", "instance", "label").agg(F.sum("times").alias("times"))
         own = Window.partitionBy("sid", "n", "instance")
         counted = counted.withColumn("all", F.sum("times").over(own)).withColumn("least", F.sum("times").over(own.orderBy("times", "label")))
@@ -327,8 +336,11 @@ def _members(docs: DataFrame, total: int) -> DataFrame:
     return members
 
 
-def _elements(docs: DataFrame) -> DataFrame:
-    """sid, elements (their upper 48 bits, 6 bytes each) of the sets of some rows."""
+def _elements(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """sid, elements (their upper 48 bits, 6 bytes each) of the sets of some rows, once each.
+
+    Not a table: the shuffle that finds repeated rows serves the join with the sets' labels, too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -341,7 +353,8 @@ def _elements(docs: DataFrame) -> DataFrame:
                 binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array(sid[new].view(np.int64), pa.int64()), binary], ["sid", "elements"])
 
-    return docs.select("text").mapInArrow(run, "sid long, elements binary")
+    rows = docs.join(_by_size(rids), "rid", "left_semi")
+    return rows.select("text").mapInArrow(run, "sid long, elements binary").dropDuplicates(["sid"])
 
 
 def linked_pairs(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -510,16 +523,21 @@ def _placed(df: DataFrame, text: str, key: str) -> tuple[DataFrame, list[DataFra
     classes = runtime.written(classes, "classes")
 
     members = _members(source, classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    wanted = runtime.written(members.select("sid").distinct().join(classes, "sid").select("rid"), "wanted")
-    elements = runtime.written(_elements(source.join(_by_size(wanted), "rid", "left_semi")).dropDuplicates(["sid"]), "elements")
+    def verified(compared: DataFrame) -> DataFrame:
+        rids = runtime.written(compared.select("sid").distinct().join(classes, "sid").select("rid"), "wanted")
+        links = runtime.written(_verified(compared, _elements(source, rids), partitions), "links")
+        runtime.drop(rids)
+        return links
+
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("i")
-    links = runtime.written(_verified(members.select("sid", "label", own, F.lit(-1).alias("j")), elements, partitions), "links")
+    links = verified(members.select("sid", "label", own, F.lit(-1).alias("j")))
     trees = _trees(links)
     if members.where("blocks > 1").take(1):
-        more = runtime.written(_verified(_visits(members, trees), elements, partitions), "links")
+        visits = runtime.written(_visits(members, trees), "visits")
+        more = verified(visits)
         trees = _trees(links.unionByName(more))
-        runtime.drop(more)
-    runtime.drop(wanted, elements, members, links)
+        runtime.drop(visits, more)
+    runtime.drop(members, links)
 
     # Sets in a tree or with copies, by the root of their tree, and the smallest key of each tree.
     roots = trees.select(F.col("tree").alias("sid")).distinct().withColumn("tree", F.col("sid"))

@@ -177,3 +177,63 @@ def test_one_representative_of_each_component(spark):
     assert sorted(map(str, map(group, got))) == sorted(map(str, {group(r) for r in rows}))
     assert {r.doc_id for r in got} == {1, 3, None, 5, 6, 7, 8}
     assert all(tuple(r) in rows for r in got)
+
+
+def exchanges_of_binaries(plan):
+    """The shuffles in a physical plan whose rows have a binary column: signatures or elements."""
+    nodes, found = [plan], 0
+    while nodes:
+        node = nodes.pop()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+        found += node.nodeName() == "Exchange" and "binary" in node.schema().simpleString()
+    return found
+
+
+def test_elements_are_shuffled_twice_at_most(spark, monkeypatch):
+    """Once by set, to leave out repeated rows and to find the labels, and once by label; also without any broadcast."""
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    written, seen = partenum.runtime.written, []
+
+    def watched(df, what):
+        seen.append((what, exchanges_of_binaries(df._jdf.queryExecution().executedPlan())))
+        return written(df, what)
+
+    monkeypatch.setattr(partenum.runtime, "written", watched)
+    rows = corpus(3, groups=6)
+    rows += rows[:5]  # repeated rows, in other partitions
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        got = sorted((tuple(r) for r in partenum.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()), key=str)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows)
+    assert dict(seen)["labels"] == 1  # the signatures
+    assert sum(n for what, n in seen if what != "labels") == 2
+
+
+def test_bytes_of_a_packed_signature(spark):
+    """A signature keeps few more bits than tell those of all sets apart; its differences from one to the next compress."""
+    rng = random.Random(11)
+    texts = [" ".join(f"v{rng.randrange(10**9)}" for _ in range(300)) for _ in range(800)]
+    total = 800 * 296
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+
+    def sent(bits):
+        rows = partenum._packed(docs, 4, 0, bits).collect()
+        size = sum(len(partenum.pa.compress(bytes(x), "lz4")) for r in rows for x in (r.sigs, r.refs, r.sids, r.sizes))
+        return size / sum(len(r.refs) // 4 for r in rows)
+
+    assert sent(partenum.kept_bits(total)) < 5.5 < 7 < sent(56)
+    assert [partenum.kept_bits(n) for n in (0, 10**9, 7 * 10**9, 10**12, 10**18)] == [40, 40, 43, 50, 56]
+
+
+def test_signatures_that_collide_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "LEAST_BITS", 8)
+    monkeypatch.setattr(partenum, "SPARE_BITS", -4)
+    rows = corpus(5)
+    got = sorted((tuple(r) for r in partenum.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == brute(rows)

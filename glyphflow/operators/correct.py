@@ -53,6 +53,14 @@ def candidate_score(similarity: Column, log_p: Column, size: int, scale: float,
     return similarity / F.sqrt(F.lit(float(size))) + F.least(F.exp(F.lit(scale)), F.lit(10.0)) * log_p + rank_bias + F.when(keep, keep_bias).otherwise(0.0)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """The whole number nearest to the scaled value, scaled back, as SQL engines have it.
+
+    F.round() goes by the decimal digits instead: where a 5 follows, an error of the last bit turns one up and the other down.
+    """
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def options(source: Column, candidates: Column) -> Column:
     """The characters a cell may hold: its own and, if that is a letter or a number, the candidates (an array) that are."""
     return F.when(editable(source), F.array_distinct(F.concat(F.array(source), F.filter(candidates, lambda c: editable(c))))).otherwise(F.array(source))
@@ -75,23 +83,25 @@ def offline(scored: DataFrame, threshold: float = 2.0, floor: float = 2.0) -> Da
     known = F.when(F.col("k").isNull(), F.raise_error(F.lit("the kept class is no candidate of its cell")).cast("double")).otherwise(F.col("k"))
     cells = cells.select("block", "cell", "keep", (-F.col("o.cls")).alias("best"), (F.col("o.score") - known).alias("margin"))
     cells = cells.withColumn("take", F.coalesce(F.col("margin") > threshold, F.lit(False)))
-    row = F.struct("cell", F.when(F.col("take"), F.col("best")).otherwise(F.col("keep")).alias("id"), "best", F.round("margin", 5).alias("margin"))
+    row = F.struct("cell", F.when(F.col("take"), F.col("best")).otherwise(F.col("keep")).alias("id"), "best", rounded(F.col("margin"), 5).alias("margin"))
     rows = cells.groupBy("block").agg(F.array_sort(F.collect_list(row)).alias("z"), F.count_if("take").alias("edits"), F.count("*").alias("cells"))
     proposals = F.transform(F.filter("z", lambda z: z["margin"] > floor), lambda z: F.struct(z["cell"].alias("cell"), z["best"].alias("best"), z["margin"].alias("margin")))
     return rows.select("block", F.transform("z", lambda z: z["id"]).alias("token_ids"), "edits", "cells", proposals.alias("proposals"))
 
 
-def replacements(scored: DataFrame, threshold: float | Column = 2.0, most: int = 64) -> DataFrame:
+def replacements(scored: DataFrame, threshold: float | Column = 2.0, most: int = 64, digits: int | None = None) -> DataFrame:
     """block, cell, keep, best, margin and replaced of each cell of scored rows (block, cell, cls, keep (the cell's class), score, can (editable class)).
 
     The best other class replaces the kept one if it leads by more than the threshold and both are editable; a block of
     more than most cells is left as it is.  The threshold may be an expression over block, cell and keep (by_family()).
+    Margins are rounded to digits before they are compared, if given.
     """
     kept = F.max(F.when(F.col("cls") == F.col("keep"), F.struct("score", "can")))
     other = F.max(F.when(F.col("cls") != F.col("keep"), F.struct("score", (-F.col("cls")).alias("cls"), "can")))
     cells = scored.groupBy("block", "cell", "keep").agg(kept.alias("k"), other.alias("o"))
     sized = cells.withColumn("n", F.count("*").over(Window.partitionBy("block")))
     margin = F.col("o.score") - F.col("k.score")
+    margin = margin if digits is None else rounded(margin, digits)
     replaced = F.coalesce((margin > threshold) & F.col("k.can") & F.col("o.can") & (F.col("n") <= most), F.lit(False))
     return sized.select("block", "cell", "keep", (-F.col("o.cls")).alias("best"), margin.alias("margin"), replaced.alias("replaced"))
 

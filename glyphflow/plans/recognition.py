@@ -90,7 +90,11 @@ def _scored(spark, sf_dir):
     keep = ctc.peaks(frames(spark, sf_dir)).select("roi_id", "cell", F.col("label").alias("keep"))
     rows = cells.join(keep, ["roi_id", "cell"])
     score = correct.candidate_score(F.col("cls") * 0.5 + F.col("cell") * 0.25, F.log(F.greatest("p", F.lit(1e-6))), 4, 0.1, F.col("rank") * -0.125, F.col("cls") == F.col("keep"), 0.5)
-    return rows.select(F.col("roi_id").alias("block"), "cell", "keep", "cls", F.round(score, 6).alias("score"), (F.col("cls") != 7).alias("can"))
+    return rows.select(F.col("roi_id").alias("block"), "cell", "keep", "cls", correct.rounded(score, 6).alias("score"), (F.col("cls") != 7).alias("can"))
+
+
+def _decided(spark, sf_dir):
+    return correct.replacements(_scored(spark, sf_dir), 1.0, digits=6)
 
 
 _SCORED = f"""{CELLS},
@@ -107,11 +111,11 @@ decided AS (
 
 
 def replace_decision(spark, sf_dir):
-    return correct.replacements(_scored(spark, sf_dir), 1.0).withColumn("margin", F.round("margin", 6))
+    return _decided(spark, sf_dir)
 
 
 def assembled_blocks(spark, sf_dir):
-    return correct.assembled(correct.replacements(_scored(spark, sf_dir), 1.0)).select("block", _ids().alias("token_ids"), "token_count", "edited")
+    return correct.assembled(_decided(spark, sf_dir)).select("block", _ids().alias("token_ids"), "token_count", "edited")
 
 
 def offline_correction(spark, sf_dir):
@@ -131,7 +135,7 @@ def family_decision(spark, sf_dir):
 
 
 def edited_block_count(spark, sf_dir):
-    return correct.edited_blocks(correct.assembled(correct.replacements(_scored(spark, sf_dir), 1.0)))
+    return correct.edited_blocks(correct.assembled(_decided(spark, sf_dir)))
 
 
 def option_sets(spark, sf_dir):
@@ -151,12 +155,12 @@ def scattered_results(spark, sf_dir):
 
 
 def suspicious_cells(spark, sf_dir):
-    decided = correct.replacements(_scored(spark, sf_dir), 1.0).withColumn("margin", F.round("margin", 6))
+    decided = _decided(spark, sf_dir)
     return correct.suspicious(decided).select("block", "cell", "margin", "rank")
 
 
 def verifier_decision(spark, sf_dir):
-    rows = correct.replacements(_scored(spark, sf_dir), 1.0).where("margin is not null").withColumn("margin", F.round("margin", 6))
+    rows = _decided(spark, sf_dir).where("margin is not null")
     rows = rows.select("block", "cell", "replaced", F.col("margin").alias("normal"), (F.col("margin") / 2).alias("masked"), F.lit(0.25).alias("l0"), (F.col("margin") / 4).alias("l1"), F.col("margin").alias("l2"))
     return correct.verified(rows).select("block", "cell", F.round("blended", 9).alias("blended"), F.round("log_odds", 9).alias("log_odds"), "decided")
 

@@ -374,3 +374,24 @@ def test_offline_correction_and_reports(spark):
         correct.offline(spark.createDataFrame([(0, 0, 9, 1, 1.0)], "block long, cell int, keep int, cls int, score double")).collect()
     assert reports.series({"65+": {"mean_ms": 2}, "01": {"mean_ms": 1.5}, "02": {}}) == [("01", 1.5), ("65+", 2.0)]
     assert [r.id for r in reports.first_rows(spark.range(9), 3, "id").collect()] == [0, 1, 2]
+
+
+def test_margins_round_as_in_sql(spark):
+    import duckdb
+
+    rng = random.Random(11)
+    places = [(k, round(-rng.uniform(0, 16), 6), rng.randint(0, 3000)) for k in range(2000)]
+    pairs = [(k, a, round(a + n / 1000 + 0.000495, 6)) for k, a, n in places]
+    rows = [r for k, a, b in pairs for r in ((k, 0, 1, 1, a, True), (k, 0, 1, 2, b, True))]
+    df = spark.createDataFrame(rows, "block long, cell int, keep int, cls int, score double, can boolean")
+    want = {k: duckdb.execute("SELECT round(?::DOUBLE - ?::DOUBLE, 5)", [b, a]).fetchone()[0] for k, a, b in pairs}
+    assert {r.block: r.proposals[0].margin for r in correct.offline(df, 1.0, 0.0).collect()} == want
+    assert {r.block: r.margin for r in correct.replacements(df, 1.0, digits=5).collect()} == want
+
+
+def test_margins_at_the_threshold(spark):
+    pairs = [(k, -k / 13, 1 - k / 13) for k in range(1, 200)]
+    rows = [r for k, a, b in pairs for r in ((k, 0, 1, 1, a, True), (k, 0, 1, 2, b, True))]
+    df = spark.createDataFrame(rows, "block long, cell int, keep int, cls int, score double, can boolean")
+    scored = df.withColumn("score", correct.rounded(F.col("score"), 6))
+    assert {r.block for r in correct.replacements(scored, 1.0, digits=6).collect() if r.replaced} == set()

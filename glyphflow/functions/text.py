@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,15 @@ ALIASES = COMPATIBILITY_ALIASES | CHARACTER_ALIASES
 #: Stands for a dot of a folded ellipsis, so that keys of keys don't fold again.
 DOT = "\ue000"
 TURNS = 4
+#: Rows and bytes of an Arrow batch; 10,000 whole texts would otherwise fill a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def small_batches() -> None:
+    """Bound what one Arrow batch holds in the session at hand."""
+    spark = SparkSession.active()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def adapted(text: Column) -> Column:
@@ -75,10 +84,16 @@ def folded_text(text: str) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def folded(text: pd.Series) -> pd.Series:
+def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else folded_text(t))
 
 
+def folded(text: Column) -> Column:
+    """folded_text() of each text."""
+    small_batches()
+    return _folded(text)
+
+
 def simple(text: Column) -> Column:
     """folded() for text of printable ASCII, natively: only the tilde changes."""
     return F.translate(text, "~", "〜")
@@ -166,9 +181,7 @@ def lattice_distance(options: list[list[str]], target: str) -> tuple[int, int]:
 
 
 @F.pandas_udf(T.LongType())
-def lattice(options: pd.Series, target: pd.Series) -> pd.Series:
-    """lattice_distance() of array<array<string>> options whose runs of single ones are joined and folded before."""
-
+def _lattice(options: pd.Series, target: pd.Series) -> pd.Series:
     def one(sets, goal) -> int:
         merged: list[list[str]] = []
         run = ""
@@ -186,11 +199,21 @@ def lattice(options: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([one(o, t) for o, t in zip(options, target)], dtype="int64")
 
 
-@F.pandas_udf(T.LongType())
-def edits(one: pd.Series, other: pd.Series) -> pd.Series:
-    """The edit distance of two texts of any length; null if one is null."""
+def lattice(options: Column, target: Column) -> Column:
+    """lattice_distance() of array<array<string>> options whose runs of single ones are joined and folded before."""
+    small_batches()
+    return _lattice(options, target)
 
+
+@F.pandas_udf(T.LongType())
+def _edits(one: pd.Series, other: pd.Series) -> pd.Series:
     def of(a: str | None, b: str | None) -> int | None:
         return None if a is None or b is None else lattice_distance([[min(a, b, key=len)]], max(b, a, key=len))[0]
 
     return pd.Series([of(a, b) for a, b in zip(one, other)], dtype="Int64")
+
+
+def edits(one: Column | str, other: Column | str) -> Column:
+    """The edit distance of two texts of any length; null if one is null."""
+    small_batches()
+    return _edits(one, other)

@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from glyphflow.functions import text
 from glyphflow.plans import recognition
@@ -141,3 +143,18 @@ def test_norms_of_whole_texts(spark, tailed):
         shown = re.sub("[^ -~]", "?", t).translate(str.maketrans(".,;", "!?~"))
         assert keys[i] == plain_key(plain_adapted(shown + recognition._SPECIAL + dots).replace("~", "〜"))
         assert folded[i].replace(text.DOT, "・") == plain_key(plain_adapted(t))
+
+
+@pytest.mark.parametrize("step", [text.key, lambda t: text.edits(t, F.lit("a")), lambda t: text.lattice(F.array(F.array(t)), F.lit("a"))])
+def test_batches_of_whole_texts(spark, step):
+    """What Python holds at once doesn't grow with the rows of a task, nor with the length of texts."""
+    sizes = F.pandas_udf(lambda t: pd.Series([f"{len(t)} {t.str.len().sum()}"] * len(t)), "string")
+    for length in (10, 20_000):
+        for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+            spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+        rows = spark.range(0, 1200, 1, 1).select(F.repeat(F.concat(F.lit("a"), F.col("id") % 7), length // 2).alias("t"))
+        got = rows.select(F.length(step(F.col("t")).cast("string")).alias("n"), sizes("t").alias("sizes")).collect()
+        assert len(got) == 1200
+        for r in got:
+            n, size = map(int, r.sizes.split())
+            assert n <= text.BATCH_ROWS and size <= text.BATCH_BYTES + length
